@@ -1,9 +1,10 @@
 """Exact byte-level BPE encoding of whole texts with the tokenizers library, a word at a time.
 
 The pre-tokenizer of the byte-level vocabularies always breaks before a space that follows a
-non-space, so a text may be cut there and each cut encoded once and remembered. Runs of three or
-more white-space characters, and of two at the end, are the only places where the cut could differ
-from encoding in one go; texts that hold one are encoded whole.
+non-space, around a lone line break, and between a letter or digit and the comma or full stop after
+it. Texts are cut there by Arrow's string kernels, and each different cut is encoded once and remembered.
+A cut could differ from encoding in one go only beside runs of white space (three, or two at the
+end) and at a comma or stop that follows neither letter nor digit: such texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,23 +12,37 @@ from __future__ import annotations
 import re
 from array import array
 
-_SPACES = re.compile(r"\s\s\s|\s\s\Z")
+_SPACES = re.compile(r"\s\s(?:\s|\Z)|\0")
+_BARE_STOP = re.compile(r"[,.](?<=[\W_].)|\A[,.]", re.S)
+_OTHER_SPACE = re.compile(r"(?!\A[ \n])[\s\0]")
+#: The alphabet of byte-level vocabularies: printable Latin-1 stands for itself, the other bytes for U+0100 onwards.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _OWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_OWN)))}
 _LOADED: dict[tuple[str, int], ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Text -> ids as little-endian unsigned 32-bit bytes. At most ``entries`` words are remembered."""
+    """Text -> ids as little-endian unsigned 32-bit bytes. About ``entries`` words are remembered."""
 
-    def __init__(self, path: str, entries: int = 400_000) -> None:
+    def __init__(self, path: str, entries: int = 450_000) -> None:
+        import numpy as np
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.words = Tokenizer.from_file(path)  # for lists of words, already in the alphabet that stands for bytes
+        self.words.encode_special_tokens = True
+        self.words.pre_tokenizer = CharDelimiterSplit(_BYTES[10])
+        self.words.model._resize_cache(0)  # no word comes twice
         self.entries = entries
         self.cache: dict[str, bytes] = {}
+        self.special: set[str] = set()  # those remembered that are not plain words
+        sizes = {i: len(t) for t, i in self.tokenizer.get_vocab().items()}  # one character stands for a byte
+        self.bytes_of = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], dtype=np.int64)
 
     @classmethod
-    def of(cls, path: str, entries: int = 400_000) -> ChunkEncoder:
+    def of(cls, path: str, entries: int = 450_000) -> ChunkEncoder:
         """One per worker process and vocabulary."""
         key = (path, entries)
         if key not in _LOADED:
@@ -38,24 +53,72 @@ class ChunkEncoder:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in got]
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember these words. Plain ones go through the library many at a time."""
+        import numpy as np
+
+        plain = sorted(w for w in words if _is_word(w))
+        other = list(words.difference(plain))
+        self.special.update(other)
+        self.cache.update(zip(other, self._whole(other), strict=True))
+        runs = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        mapped = ["\n".join(r).encode().decode("latin-1").translate(_BYTES) for r in runs]
+        for run, got in zip(runs, self.words.encode_batch_fast(mapped, add_special_tokens=False), strict=True):
+            ids = array("I", got.ids).tobytes()
+            ends = np.cumsum([len(w.encode()) for w in run])
+            at = np.searchsorted(np.cumsum(self.bytes_of[np.frombuffer(ids, "<u4")]), ends) + 1
+            cuts = [0, *(4 * at).tolist()]
+            self.cache.update(zip(run, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.cache) > self.entries:
             self.cache.clear()
-        cache, cut = self.cache, []
-        for text in texts:
-            if _SPACES.search(text):
-                cut.append(None)
-                continue
-            head, *rest = text.split(" ")
-            words = [" " + w for w in rest]
-            if head:
-                words.insert(0, head)
-            cut.append(words)
-        missing = list({w for words in cut if words for w in words if w not in cache})
-        cache.update(zip(missing, self._whole(missing), strict=True))
-        whole = iter(self._whole([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        get = cache.__getitem__
-        return [next(whole) if words is None else b"".join(map(get, words)) for words in cut]
+            self.special.clear()
+        marked = pa.array(texts, pa.large_string())
+        for old, new in (("\n", "\0\n\0"), (" ", "\0 "), (",", "\0,"), (".", "\0.")):
+            marked = pc.replace_substring(marked, old, new)
+        cuts = pc.split_pattern(marked, "\0")
+        offsets = cuts.offsets.to_numpy()
+        coded = cuts.flatten().dictionary_encode()
+        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self.cache[""] = b""
+        self._learn(set(words).difference(self.cache))
+        # where cutting may not be exact; plain words are never the reason
+        rare = list(self.special.intersection(words)) + [""]
+        place = pc.index_in(pa.array(rare, pa.large_string()), coded.dictionary)
+        flags = np.zeros((3, len(words)), dtype=bool)
+        for w, i in zip(rare, place.to_pylist(), strict=True):
+            if i is not None:
+                flags[:, i] = w[:1] in (",", ".") and w != "", not w[-1:].isalnum(), bool(_OTHER_SPACE.search(w))
+        stop, bare, odd = flags
+        doubt = odd[code]
+        doubt[1:] |= stop[code[1:]] & bare[code[:-1]]
+        at = np.flatnonzero(doubt)
+        doubtful = set((np.searchsorted(offsets, at, side="right") - 1).tolist())
+        for i, t in enumerate(texts):
+            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or "\0" in t or t[:1] in (",", "."):
+                doubtful.add(i)
+        spaced = {i for i in doubtful if _SPACES.search(texts[i]) or _BARE_STOP.search(texts[i])}
+        whole = dict(zip(spaced, self._whole([texts[i] for i in spaced]), strict=True))
+        # gather the ids of every cut
+        own = [self.cache[w] for w in words]
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        start = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(own), "<u4")
+        n = size[code]
+        end = np.cumsum(n)
+        out = ids[np.repeat(start[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
+        edge = (4 * np.concatenate([[0], end])[offsets]).tolist()
+        return [whole[i] if i in whole else out[a:b] for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))]
+
+
+def _is_word(w: str) -> bool:
+    """Letters, with a space before at most."""
+    return w[w[:1] == " " :].isalpha()
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -65,7 +128,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def in_batches(texts: list[str], most: int = 4_000_000) -> list[range]:
+def in_batches(texts: list[str], most: int = 5_000_000) -> list[range]:
     """Index ranges of at most about ``most`` characters, one text at least."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):

@@ -16,13 +16,21 @@ def encoder():
     return ChunkEncoder(vocabulary(), entries=500)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r'sTé1.,<|>  \x1c中a"), max_size=40), max_size=4))
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(" \n\t\r'sTé1.,<|>_    \x1c中á½\0"), max_size=40), max_size=4))
 def test_encoder_is_exact(encoder, texts):
     plain = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in encoder.encode(texts)] == plain
 
 
+def test_encoder_on_documents(encoder):
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist()
+    plain = [x.ids for x in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [list(struct.unpack(f"<{len(b) // 4}I", b)) for b in encoder.encode(texts)] == plain
+
+
 def test_look_up(tmp_path):
     rng = random.Random(3)
     keys = sorted(rng.sample(range(-5000, 5000), 900))
