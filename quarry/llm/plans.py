@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from quarry.llm.packing import op7_best_fit_packing
 from quarry.llm.sstable import op8_token_tables
 
-QUERIES = {"op8_token_tables": op8_token_tables}
+QUERIES = {"op7_best_fit_packing": op7_best_fit_packing, "op8_token_tables": op8_token_tables}
 ORACLES: dict[str, str] = {}
