@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from quarry.llm.packing import op7_best_fit_packing
+from quarry.llm.simhash import op3_simhash
 from quarry.llm.sstable import op8_token_tables
 
-QUERIES = {"op7_best_fit_packing": op7_best_fit_packing, "op8_token_tables": op8_token_tables}
+QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_token_tables": op8_token_tables,
+}
 ORACLES: dict[str, str] = {}
