@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from quarry.llm import topk, warc
+from quarry.llm.neardup_vectors import op9_vector_neardup
 from quarry.llm.packing import op7_best_fit_packing
 from quarry.llm.simhash import op3_simhash
 from quarry.llm.sstable import op8_token_tables
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
+    "op2_warc": warc.op2_warc,
     "op3_simhash": op3_simhash,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_tables": op8_token_tables,
+    "op9_vector_neardup": op9_vector_neardup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_warc": warc.ORACLE}
