@@ -33,6 +33,12 @@ class Lists:
         self.ids, self.values = ids, values
         self.up = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
         self.sorted = np.take_along_axis(values.T, self.up, axis=1)
+        self.floats = values.astype(np.float64)
+        self.largest = int(np.abs(values).max(initial=0))
+
+    def exact(self, q: np.ndarray) -> bool:
+        """Whether every partial sum is an integer that a double holds exactly."""
+        return self.largest * int(np.abs(q).sum()) < 1 << 53
 
     def best(self, q: np.ndarray, own: int, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows for ``q`` other than ``own``, best first."""
@@ -47,14 +53,16 @@ class Lists:
         while True:
             if len(dims):
                 at = np.where(down[:, None], n - 1 - np.arange(low, high), np.arange(low, high))
-                rows = np.unique(self.up[dims[:, None], at])
+                met = seen.copy()
+                met[self.up[dims[:, None], at]] = True
             else:
-                rows = np.arange(n)
-            rows = rows[~seen[rows]]
-            seen[rows] = True
+                met = np.ones(n, dtype=bool)
+            rows = np.flatnonzero(met & ~seen)
+            seen = met
             rows = rows[self.ids[rows] != own]
             ids = np.concatenate([ids, self.ids[rows]])
-            scores = np.concatenate([scores, self.values[rows] @ q])
+            got = (self.floats[rows] @ q.astype(np.float64)).astype(np.int64) if self.exact(q) else self.values[rows] @ q
+            scores = np.concatenate([scores, got])
             if len(ids) > k:  # all that reach the kth score stay, so that ids can settle ties
                 top = scores >= -np.partition(-scores, k - 1)[k - 1]
                 ids, scores = ids[top], scores[top]
