@@ -78,18 +78,13 @@ class ChunkEncoder:
         if len(self.cache) > self.entries:
             self.cache.clear()
             self.special.clear()
-        marked = pa.array(texts, pa.large_string())
-        for old, new in (("\n", "\0\n\0"), (" ", "\0 "), (",", "\0,"), (".", "\0.")):
-            marked = pc.replace_substring(marked, old, new)
-        cuts = pc.split_pattern(marked, "\0")
-        offsets = cuts.offsets.to_numpy()
-        coded = cuts.flatten().dictionary_encode()
-        words, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        marks = (("\n", "\0\n\0"), (" ", "\0 "), (",", "\0,"), (".", "\0."))
+        words, code, offsets, dictionary = cut_and_code(texts, marks)
         self.cache[""] = b""
         self._learn(set(words).difference(self.cache))
         # where cutting may not be exact; plain words are never the reason
         rare = list(self.special.intersection(words)) + [""]
-        place = pc.index_in(pa.array(rare, pa.large_string()), coded.dictionary)
+        place = pc.index_in(pa.array(rare, pa.large_string()), dictionary)
         flags = np.zeros((3, len(words)), dtype=bool)
         for w, i in zip(rare, place.to_pylist(), strict=True):
             if i is not None:
@@ -104,16 +99,35 @@ class ChunkEncoder:
                 doubtful.add(i)
         spaced = {i for i in doubtful if _SPACES.search(texts[i]) or _BARE_STOP.search(texts[i])}
         whole = dict(zip(spaced, self._whole([texts[i] for i in spaced]), strict=True))
-        # gather the ids of every cut
-        own = [self.cache[w] for w in words]
-        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        start = np.cumsum(size) - size
-        ids = np.frombuffer(b"".join(own), "<u4")
-        n = size[code]
-        end = np.cumsum(n)
-        out = ids[np.repeat(start[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
-        edge = (4 * np.concatenate([[0], end])[offsets]).tolist()
-        return [whole[i] if i in whole else out[a:b] for i, (a, b) in enumerate(zip(edge, edge[1:], strict=False))]
+        out = gather([self.cache[w] for w in words], code, offsets)
+        return [whole.get(i, ids) for i, ids in enumerate(out)]
+
+
+def cut_and_code(texts: list[str], marks: tuple[tuple[str, str], ...]):
+    """Cut texts at the zero bytes that ``marks`` put in -> (different cuts, cut numbers, cuts of each text by offsets, Arrow cuts)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    marked = pa.array(texts, pa.large_string())
+    for old, new in marks:
+        marked = pc.replace_substring(marked, old, new)
+    cuts = pc.split_pattern(marked, "\0")
+    coded = cuts.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), cuts.offsets.to_numpy(), coded.dictionary
+
+
+def gather(own: list[bytes], code, offsets, unit: int = 4) -> list[bytes]:
+    """Join, for each text, the bytes ``own`` of its cuts; every length is a multiple of ``unit``."""
+    import numpy as np
+
+    size = np.fromiter(map(len, own), np.int64, len(own)) // unit
+    start = np.cumsum(size) - size
+    items = np.frombuffer(b"".join(own), f"V{unit}" if unit not in (1, 4) else f"<u{unit}")
+    n = size[code]
+    end = np.cumsum(n)
+    out = items[np.repeat(start[code] - end + n, n) + np.arange(end[-1] if len(end) else 0)].tobytes()
+    edge = (unit * np.concatenate([[0], end])[offsets]).tolist()
+    return [out[a:b] for a, b in zip(edge, edge[1:], strict=False)]
 
 
 def _is_word(w: str) -> bool:
