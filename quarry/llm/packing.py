@@ -2,7 +2,8 @@
 
 A plan needs only how many pieces there are of each length, at most ``capacity`` numbers however large
 the corpus. The plan fills a sequence around the longest piece left with an undominated filling and
-repeats that pattern as often as the counts allow, so it has at most ``capacity`` patterns. Branch and
+repeats that pattern as often as the counts allow, which at least halves what is left of some length each time, so
+its patterns are few however large the counts. Branch and
 bound over those choices starts from the best-fit-decreasing plan as incumbent, cuts branches whose
 used sequences and least possible rest (tokens left, by capacity) cannot beat it, and ends at a proven
 optimum or after ``nodes`` steps. Spark then numbers the pieces of each length, in parts of bounded
@@ -33,19 +34,17 @@ def completions(counts: np.ndarray, longest: int, breadth: tuple[int, ...], widt
     below, found = _below(counts), []
 
     def go(room: int, top: int, chosen: tuple[int, ...]) -> bool:
-        x = below[min(room, top)]
-        if not x:
+        """Whether to look no further beside what was chosen before."""
+        x, tried = below[min(room, top)], 0
+        while x and tried < breadth[min(len(chosen), len(breadth) - 1)]:
+            if counts[x] - chosen.count(x) - (x == longest) > 0:
+                tried += 1
+                if go(room - x, x, (*chosen, x)):
+                    return bool(chosen) or len(found) > width
+            x = below[x - 1]
+        if not tried:
             found.append((room, chosen))
             return room == 0
-        for _ in range(breadth[min(len(chosen), len(breadth) - 1)]):
-            if x == 0:
-                break
-            stock = counts[x] - chosen.count(x) - (x == longest)
-            if stock > 0 and go(room - x, x, (*chosen, x)):
-                return len(chosen) > 0 or len(found) > width
-            if stock <= 0 and below[x - 1] == 0:
-                found.append((room, chosen))
-            x = below[x - 1]
         return False
 
     go(len(counts) - 1 - longest, longest, ())
@@ -133,21 +132,21 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     def cut(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
-        encoder = ChunkEncoder.of(path)
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for span in in_batches(texts):
-                rows: list[tuple] = []
-                for i, ids in zip(span, encoder.encode([texts[i] for i in span]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    a, b, piece = 0, n % capacity or min(n, capacity), 0
-                    while a < n:
-                        rows.append((keys[i], piece, a, b - a, ids[4 * a : 4 * b]))
-                        a, b, piece = b, b + capacity, piece + 1
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids"])
+        with ChunkEncoder.of(path) as encoder:
+            for batch in batches:
+                keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for span in in_batches(texts):
+                    rows: list[tuple] = []
+                    for i, ids in zip(span, encoder.encode([texts[i] for i in span]), strict=True):
+                        ids += end
+                        n = len(ids) // 4
+                        a, b, piece = 0, n % capacity or min(n, capacity), 0
+                        while a < n:
+                            rows.append((keys[i], piece, a, b - a, ids[4 * a : 4 * b]))
+                            a, b, piece = b, b + capacity, piece + 1
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+                    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids binary"

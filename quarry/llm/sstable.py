@@ -189,13 +189,13 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
 
         shard, out = TaskContext.get().partitionId(), None
         name = f"shard-{shard:06d}.sst"
-        encoder = ChunkEncoder.of(tokenizer)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for span in in_batches(texts):
-                for i, got in zip(span, encoder.encode([texts[i] for i in span]), strict=True):
-                    out = out or TableWriter(AtomicFile(folder, name))
-                    out.add(key_of(ids[i]), got + end)
+        with ChunkEncoder.of(tokenizer) as encoder:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+                for span in in_batches(texts):
+                    for i, got in zip(span, encoder.encode([texts[i] for i in span]), strict=True):
+                        out = out or TableWriter(AtomicFile(folder, name))
+                        out.add(key_of(ids[i]), got + end)
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict(

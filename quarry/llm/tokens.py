@@ -24,7 +24,7 @@ _LOADED: dict[tuple[str, int], ChunkEncoder] = {}
 class ChunkEncoder:
     """Text -> ids as little-endian unsigned 32-bit bytes. About ``entries`` words are remembered."""
 
-    def __init__(self, path: str, entries: int = 450_000) -> None:
+    def __init__(self, path: str, entries: int = 300_000) -> None:
         import numpy as np
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
@@ -42,13 +42,22 @@ class ChunkEncoder:
         self.bytes_of = np.array([sizes.get(i, 0) for i in range(max(sizes) + 1)], dtype=np.int64)
 
     @classmethod
-    def of(cls, path: str, entries: int = 450_000) -> ChunkEncoder:
+    def of(cls, path: str, entries: int = 300_000) -> ChunkEncoder:
         """One per worker process and vocabulary."""
         key = (path, entries)
         if key not in _LOADED:
             _LOADED[key] = cls(path, entries)
         return _LOADED[key]
 
+    def __enter__(self) -> ChunkEncoder:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        """A worker outlives its task: give back what was remembered, for the work that comes next."""
+        self.cache.clear()
+        self.special.clear()
+        give_back()
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in got]
@@ -135,6 +144,21 @@ def _is_word(w: str) -> bool:
     return w[w[:1] == " " :].isalpha()
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that an idle worker is small."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where the installed public vocabulary file lies (the same on driver and executors)."""
     import public_tokenizers
@@ -142,7 +166,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def in_batches(texts: list[str], most: int = 5_000_000) -> list[range]:
+def in_batches(texts: list[str], most: int = 2_500_000) -> list[range]:
     """Index ranges of at most about ``most`` characters, one text at least."""
     out, start, size = [], 0, 0
     for i, t in enumerate(texts):
