@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.operators import aggregates, relational
+from quarry.plans.sqlviews import adder
 from quarry.registry import Registry
 from quarry.session import table
 
 R = Registry()
+sql = adder(R)
 
 
 @R.add(
@@ -29,3 +32,174 @@ def pricing_summary(spark, sf):
         F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
         F.count("*").alias("n"),
     )
+
+
+# scans
+sql("scan_all", "SELECT * FROM nation")
+sql("scan_pruned_columns", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity = 1")
+sql("scan_point_lookup", "SELECT * FROM customer WHERE c_custkey = 42")
+sql("scan_bitmap_and_or", "SELECT p_partkey FROM part WHERE p_size = 10 OR (p_size = 20 AND p_brand LIKE '%1%')")
+sql("scan_parallel_count", "SELECT COUNT(*) AS n FROM lineitem WHERE l_discount > 0.05")
+R.add(
+    "scan_from_any",
+    """
+    SELECT 'customer' AS collection, c_custkey AS rid, c_name AS name, c_acctbal AS acctbal FROM customer WHERE c_acctbal > 5000
+    UNION ALL SELECT 'supplier', s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 5000
+    UNION ALL SELECT 'part', p_partkey, p_name, NULL FROM part WHERE NULL > 5000
+    """,
+)(
+    lambda spark, sf: relational.from_any(
+        {
+            "customer": table(spark, sf, "customer").selectExpr("c_custkey AS rid", "c_name AS name", "c_acctbal AS acctbal"),
+            "supplier": table(spark, sf, "supplier").selectExpr("s_suppkey AS rid", "s_name AS name", "s_acctbal AS acctbal"),
+            "part": table(spark, sf, "part").selectExpr("p_partkey AS rid", "p_name AS name"),
+        }
+    ).where("acctbal > 5000")
+)
+R.add(
+    "show_stats",
+    """
+    SELECT 'c_custkey' AS column_name, COUNT(c_custkey) AS n, COUNT(*) - COUNT(c_custkey) AS nulls, COUNT(DISTINCT c_custkey) AS ndv, CAST(MIN(c_custkey) AS VARCHAR) AS low, CAST(MAX(c_custkey) AS VARCHAR) AS high FROM customer
+    UNION ALL SELECT 'c_mktsegment', COUNT(c_mktsegment), COUNT(*) - COUNT(c_mktsegment), COUNT(DISTINCT c_mktsegment), MIN(c_mktsegment), MAX(c_mktsegment) FROM customer
+    UNION ALL SELECT 'c_nationkey', COUNT(c_nationkey), COUNT(*) - COUNT(c_nationkey), COUNT(DISTINCT c_nationkey), CAST(MIN(c_nationkey) AS VARCHAR), CAST(MAX(c_nationkey) AS VARCHAR) FROM customer
+    """,
+)(lambda spark, sf: relational.column_stats(table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")))
+
+# projections and filters
+sql("project_expressions", "SELECT l_orderkey, l_linenumber, l_quantity * 2 AS double_qty, l_extendedprice * (1 - l_discount) AS net FROM lineitem")
+sql("derived_table", "SELECT x.k, x.v FROM (SELECT o_orderkey AS k, o_totalprice AS v FROM orders WHERE o_orderstatus = 'F') AS x WHERE x.v > 100000")
+sql("filter_compare", "SELECT o_orderkey FROM orders WHERE o_totalprice >= 150000 AND o_orderstatus <> 'P'")
+sql("filter_field_field", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = l_suppkey")
+sql("filter_expr_expr", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity * 10 > l_extendedprice / 10")
+sql("filter_and_or_not", "SELECT p_partkey FROM part WHERE NOT (p_size < 25 OR p_retailprice > 1500) AND p_type IS NOT NULL")
+sql("filter_null", "SELECT l_orderkey, l_linenumber, NULLIF(l_returnflag, 'N') AS flag FROM lineitem WHERE NULLIF(l_returnflag, 'N') IS NULL")
+sql("filter_in", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey NOT IN (1, 2, 3)")
+sql("filter_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 15 AND p_retailprice NOT BETWEEN 1000 AND 1200")
+sql("filter_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A%' AND p_name NOT LIKE '_a%'")
+sql("filter_starts_ends", "SELECT p_partkey FROM part WHERE p_type LIKE 'S%' OR p_type LIKE '%L'", "SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') OR ends_with(p_type, 'L')")
+sql("filter_contains", "SELECT doc_id FROM documents WHERE contains(text, 'token')", "SELECT doc_id FROM documents WHERE contains(text, 'token')")
+sql("filter_regex", "SELECT doc_id FROM documents WHERE text RLIKE '[0-9]{16}'", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{16}')")
+sql("case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band FROM orders")
+sql("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders")
+sql("cast_values", "SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS whole, CAST(o_orderkey AS VARCHAR(20)) AS txt FROM orders", "SELECT o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS whole, CAST(o_orderkey AS VARCHAR) AS txt FROM orders")
+sql("scalar_select", "SELECT (SELECT COUNT(*) FROM nation) AS nations, 1 + 2 AS three")
+R.add("retention_filter", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")(
+    lambda spark, sf: relational.retain(table(spark, sf, "events"), "ts", "INTERVAL 7 DAYS").select("event_id")
+)
+R.add("within_tenant", "SELECT user_id, COUNT(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id")(
+    lambda spark, sf: relational.within_tenant(table(spark, sf, "events"), "event_type", "click").groupBy("user_id").agg(F.count("*").alias("n"))
+)
+
+# joins
+sql("join_inner", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
+sql("join_left", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
+sql("join_right", "SELECT o.o_orderkey, c.c_name FROM customer c RIGHT JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0")
+sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 60) c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey")
+sql("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_nationkey < 5")
+sql("join_chain", "SELECT r_name, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY r_name")
+sql("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
+sql("join_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+sql("join_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+sql("subquery_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)")
+sql("subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT AVG(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+sql("subquery_any", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT MIN(p_retailprice) FROM part WHERE p_size = 10)", "SELECT p_partkey FROM part WHERE p_retailprice > ANY (SELECT p_retailprice FROM part WHERE p_size = 10)")
+sql("subquery_all", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT MAX(p_retailprice) FROM part WHERE p_size = 10)", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size = 10)")
+sql("join_natural", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, c_nationkey AS k FROM customer) NATURAL JOIN (SELECT s_suppkey, s_nationkey AS k FROM supplier)")
+R.add(
+    "join_null_safe",
+    """
+    WITH a AS (SELECT c_custkey, NULLIF(c_nationkey % 4, 0) AS k FROM customer), b AS (SELECT s_suppkey, NULLIF(s_nationkey % 4, 0) AS k FROM supplier)
+    SELECT c_custkey, s_suppkey FROM a JOIN b ON a.k IS NOT DISTINCT FROM b.k
+    """,
+)(
+    lambda spark, sf: relational.join_null_safe(
+        table(spark, sf, "customer").selectExpr("c_custkey", "NULLIF(c_nationkey % 4, 0) AS k"), table(spark, sf, "supplier").selectExpr("s_suppkey", "NULLIF(s_nationkey % 4, 0) AS k"), "k"
+    ).select("c_custkey", "s_suppkey")
+)
+R.add(
+    "join_as_of",
+    """
+    SELECT e.event_id, p.event_id AS purchase_id FROM (SELECT * FROM events WHERE event_type = 'click') e
+    ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts
+    """,
+)(
+    lambda spark, sf: relational.join_as_of(
+        table(spark, sf, "events").where("event_type = 'click'").select("event_id", "user_id", "ts"),
+        table(spark, sf, "events").where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("event_id").alias("purchase_id")),
+        "user_id",
+        "ts",
+        ["purchase_id"],
+    ).select("event_id", "purchase_id")
+)
+R.add(
+    "join_range",
+    """
+    SELECT a.event_id, COUNT(b.event_id) AS n FROM events a JOIN events b
+    ON b.ts >= a.ts AND b.ts < a.ts + INTERVAL 10 MINUTE AND b.event_id <> a.event_id GROUP BY a.event_id
+    """,
+)(
+    lambda spark, sf: relational.join_range(
+        table(spark, sf, "events").select("event_id", F.unix_micros("ts").alias("low")).withColumn("high", F.col("low") + 600_000_000),
+        table(spark, sf, "events").select(F.col("event_id").alias("other"), F.unix_micros("ts").alias("at")),
+        "low",
+        "high",
+        "at",
+        600_000_000,
+    )
+    .where("event_id <> other")
+    .groupBy("event_id")
+    .agg(F.count("*").alias("n"))
+)
+
+# aggregation
+sql("agg_group", "SELECT l_returnflag, COUNT(*) AS n, MIN(l_quantity) AS low, MAX(l_quantity) AS high FROM lineitem GROUP BY l_returnflag")
+sql("agg_implicit_group", "SELECT c_mktsegment, c_nationkey FROM customer GROUP BY c_mktsegment, c_nationkey")
+sql("agg_having", "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 12")
+sql("agg_counts", "SELECT event_type, COUNT(*) AS n, COUNT(NULLIF(user_id % 3, 0)) AS n_some, COUNT(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
+sql("agg_sum_avg", "SELECT l_linestatus, CAST(SUM(l_orderkey) AS BIGINT) AS s, ROUND(AVG(l_discount), 8) AS a FROM lineitem GROUP BY l_linestatus")
+sql("agg_expression_key", "SELECT l_quantity > 25 AS big, COUNT(*) AS n FROM lineitem GROUP BY l_quantity > 25")
+sql("agg_stddev", "SELECT l_returnflag, ROUND(stddev_pop(l_quantity), 6) AS sd, ROUND(var_pop(l_quantity), 6) AS v FROM lineitem GROUP BY l_returnflag")
+sql("agg_string", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
+sql("agg_first_last", "SELECT user_id, min_by(event_id, struct(ts, event_id)) AS first_id, max_by(event_id, struct(ts, event_id)) AS last_id FROM events GROUP BY user_id", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY user_id")
+sql("agg_covar_corr", "SELECT l_returnflag, ROUND(covar_pop(l_quantity, l_extendedprice), 4) AS cp, ROUND(covar_samp(l_quantity, l_extendedprice), 4) AS cs, ROUND(corr(l_quantity, l_extendedprice), 8) AS c FROM lineitem GROUP BY l_returnflag")
+sql("agg_if", "SELECT l_returnflag, count_if(l_quantity > 30) AS n, ROUND(SUM(l_extendedprice) FILTER (WHERE l_discount > 0.05), 2) AS s, ROUND(AVG(CASE WHEN l_tax > 0.04 THEN l_quantity END), 6) AS a FROM lineitem GROUP BY l_returnflag")
+sql("agg_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+sql("agg_grouping_sets", "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+sql("agg_array_join", "SELECT k, COUNT(*) AS n FROM (SELECT explode(split(p_type, ' ')) AS k FROM part) GROUP BY k", "SELECT k, COUNT(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS k FROM part) GROUP BY k")
+R.add(
+    "agg_nearest_rank",
+    """
+    WITH r AS (SELECT l_returnflag AS g, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) - 1 AS i, COUNT(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)
+    SELECT g AS l_returnflag, MAX(CASE WHEN i = round(0.5 * (n - 1)) THEN x END) AS p50, MAX(CASE WHEN i = round(0.9 * (n - 1)) THEN x END) AS p90 FROM r GROUP BY g
+    """,
+)(lambda spark, sf: aggregates.nearest_rank(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", {"p50": 0.5, "p90": 0.9}))
+R.add(
+    "agg_group_array",
+    "SELECT user_id, list(event_id ORDER BY event_id)[1:3] AS ids FROM events GROUP BY user_id",
+)(lambda spark, sf: aggregates.group_array(table(spark, sf, "events"), ["user_id"], "event_id", 3, "event_id", "ids"))
+R.add(
+    "agg_preaggregate_rewrite",
+    "SELECT l_returnflag, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS s FROM lineitem GROUP BY l_returnflag",
+)(
+    lambda spark, sf: aggregates.roll_up(
+        table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s")), ["l_returnflag"], {"n": "sum", "s": "sum"}
+    )
+)
+
+# sorting and limits; every limit is over a total order
+sql("order_multi_key", "SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 25")
+sql("order_expression", "SELECT n_name FROM nation ORDER BY upper(n_name) DESC LIMIT 10")
+sql("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 20")
+sql("select_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
+sql("order_nulls", "SELECT o_orderkey FROM orders ORDER BY NULLIF(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey LIMIT 15")
+
+# set operations
+sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
+sql("except", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+sql("cte", "WITH a AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT MAX(n) AS m FROM a) SELECT o_custkey FROM a JOIN b ON a.n = b.m")
+sql("cte_columns", "WITH a(k, v) AS (SELECT c_custkey, c_acctbal FROM customer) SELECT k FROM a WHERE v < 0")
+sql("cte_recursive", "WITH RECURSIVE t(n, s) AS (SELECT 1, CAST(0 AS BIGINT) UNION ALL SELECT n + 1, s + n FROM t WHERE n < 20) SELECT t.n, t.s, nation.n_name FROM t JOIN nation ON nation.n_nationkey = t.n")
