@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from quarry.plans import relational, scalars, temporal
+from quarry.plans import graphs, relational, scalars, searches, temporal
 from quarry.registry import Registry
 
 REGISTRY = Registry()
-for _module in (relational, temporal, scalars):
+for _module in (relational, temporal, scalars, graphs, searches):
     for _name, _fn in _module.R.queries.items():
         REGISTRY.add(_name, _module.R.oracles.get(_name))(_fn)
