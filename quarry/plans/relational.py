@@ -163,7 +163,7 @@ sql("agg_stddev", "SELECT l_returnflag, ROUND(stddev_pop(l_quantity), 6) AS sd,
 sql("agg_string", "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey")
 sql("agg_first_last", "SELECT user_id, min_by(event_id, struct(ts, event_id)) AS first_id, max_by(event_id, struct(ts, event_id)) AS last_id FROM events GROUP BY user_id", "SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY user_id")
 sql("agg_covar_corr", "SELECT l_returnflag, ROUND(covar_pop(l_quantity, l_extendedprice), 4) AS cp, ROUND(covar_samp(l_quantity, l_extendedprice), 4) AS cs, ROUND(corr(l_quantity, l_extendedprice), 8) AS c FROM lineitem GROUP BY l_returnflag")
-sql("agg_if", "SELECT l_returnflag, count_if(l_quantity > 30) AS n, ROUND(SUM(l_extendedprice) FILTER (WHERE l_discount > 0.05), 2) AS s, ROUND(AVG(CASE WHEN l_tax > 0.04 THEN l_quantity END), 6) AS a FROM lineitem GROUP BY l_returnflag")
+sql("agg_if", "SELECT l_returnflag, CAST(count_if(l_quantity > 30) AS BIGINT) AS n, ROUND(SUM(l_extendedprice) FILTER (WHERE l_discount > 0.05), 2) AS s, ROUND(AVG(CASE WHEN l_tax > 0.04 THEN l_quantity END), 6) AS a FROM lineitem GROUP BY l_returnflag")
 sql("agg_rollup", "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("agg_cube", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
 sql("agg_grouping_sets", "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")

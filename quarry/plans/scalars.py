@@ -13,7 +13,7 @@ R = Registry()
 sql = adder(R)
 
 sql("fn_case", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l, reverse(p_brand) AS r FROM part")
-sql("fn_lengths", "SELECT doc_id, char_length(text) AS c, octet_length(text) AS o, bit_length(text) AS b FROM documents", "SELECT doc_id, length(text) AS c, CAST(octet_length(encode(text)) AS INTEGER) AS o, CAST(8 * octet_length(encode(text)) AS INTEGER) AS b FROM documents")
+sql("fn_lengths", "SELECT doc_id, char_length(text) AS c, octet_length(text) AS o, bit_length(text) AS b FROM documents", "SELECT doc_id, CAST(length(text) AS INTEGER) AS c, CAST(octet_length(encode(text)) AS INTEGER) AS o, CAST(8 * octet_length(encode(text)) AS INTEGER) AS b FROM documents")
 sql("fn_trim", "SELECT p_partkey, trim(BOTH 'PS' FROM p_type) AS b, ltrim('P', p_type) AS l, rtrim('L', p_type) AS r FROM part", "SELECT p_partkey, trim(p_type, 'PS') AS b, ltrim(p_type, 'P') AS l, rtrim(p_type, 'L') AS r FROM part")
 sql("fn_concat", "SELECT n_nationkey, concat_ws('-', n_name, NULL, CAST(n_regionkey AS STRING)) AS w, concat(n_name, '!') AS c FROM nation", "SELECT n_nationkey, concat_ws('-', n_name, NULL, CAST(n_regionkey AS VARCHAR)) AS w, n_name || '!' AS c FROM nation")
 sql("fn_position", "SELECT p_partkey, locate('A', p_type) AS a, locate('', p_type) AS e FROM part", "SELECT p_partkey, CAST(instr(p_type, 'A') AS INTEGER) AS a, 1 AS e FROM part")
@@ -23,7 +23,7 @@ sql("fn_powers", "SELECT p_partkey, round(sqrt(p_size), 8) AS s, round(power(p_s
 sql("fn_trigonometry", "SELECT p_partkey, round(sin(p_size), 8) AS s, round(cos(p_size), 8) AS c, round(tan(p_size), 8) AS t, round(asin(p_size / 50), 8) AS a, round(acos(p_size / 50), 8) AS b, round(atan(p_size), 8) AS d, round(atan2(p_size, 3), 8) AS e, round(cot(p_size), 8) AS f, round(degrees(p_size), 8) AS g, round(radians(p_size), 8) AS h, round(pi(), 8) AS i FROM part")
 R.add(
     "fn_substring",
-    r"SELECT p_partkey, substr(p_type, 1, 4) AS a, substr(p_type, 3) AS b, NULL AS c, nullif(regexp_extract(p_type, '([AEIOU])[A-Z]', 1), '') AS d FROM part",
+    r"SELECT p_partkey, substr(p_type, 1, 4) AS a, substr(p_type, 3) AS b, CAST(NULL AS VARCHAR) AS c, nullif(regexp_extract(p_type, '([AEIOU])[A-Z]', 1), '') AS d FROM part",
 )(
     lambda spark, sf: table(spark, sf, "part").select(
         "p_partkey", S.substring(F.col("p_type"), -2, 4).alias("a"), S.substring(F.col("p_type"), 3).alias("b"), S.substring(F.col("p_type"), 1, -1).alias("c"), S.substring_match(F.col("p_type"), "([AEIOU])[A-Z]").alias("d")

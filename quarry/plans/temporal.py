@@ -14,14 +14,14 @@ sql = adder(R)
 _W = "PARTITION BY user_id ORDER BY ts, event_id"
 
 sql("window_row_number", f"SELECT event_id, row_number() OVER ({_W}) AS n FROM events", f"SELECT event_id, CAST(row_number() OVER ({_W}) AS INTEGER) AS n FROM events")
-sql("window_rank", "SELECT l_orderkey, l_linenumber, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS r, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS d FROM lineitem")
+sql("window_rank", "SELECT l_orderkey, l_linenumber, CAST(rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS INTEGER) AS r, CAST(dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS INTEGER) AS d FROM lineitem")
 sql("window_lag_lead", f"SELECT event_id, lag(event_id) OVER ({_W}) AS a, lead(event_id) OVER ({_W}) AS b, lag(event_id, 2, CAST(-1 AS BIGINT)) OVER ({_W}) AS c FROM events")
-sql("window_aggregates", "SELECT o_orderkey, COUNT(*) OVER w AS n, MIN(o_totalprice) OVER w AS low, MAX(o_totalprice) OVER w AS high, ROUND(AVG(o_totalprice) OVER w, 4) AS a FROM orders WINDOW w AS (PARTITION BY o_custkey)")
+sql("window_aggregates", "SELECT o_orderkey, COUNT(*) OVER w AS n, MIN(o_totalprice) OVER w AS low, MAX(o_totalprice) OVER w AS high, ROUND(AVG(o_orderkey) OVER w, 6) AS a FROM orders WINDOW w AS (PARTITION BY o_custkey)")
 sql("window_range_peers", "SELECT l_orderkey, l_linenumber, SUM(l_quantity) OVER (PARTITION BY l_suppkey ORDER BY l_shipdate RANGE UNBOUNDED PRECEDING) AS s FROM lineitem")
 sql("window_rows_running", "SELECT o_orderkey, CAST(SUM(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM orders")
 sql("window_rows_trailing", f"SELECT event_id, COUNT(NULLIF(event_type, 'click')) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS n FROM events")
-sql("window_nulls_order", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY NULLIF(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey) AS n FROM orders")
-sql("window_extras", f"SELECT event_id, ntile(4) OVER ({_W}) AS q, first_value(event_id) OVER ({_W}) AS f, ROUND(percent_rank() OVER ({_W}), 8) AS p, ROUND(cume_dist() OVER ({_W}), 8) AS c FROM events")
+sql("window_nulls_order", "SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY NULLIF(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey) AS INTEGER) AS n FROM orders")
+sql("window_extras", f"SELECT event_id, CAST(ntile(4) OVER ({_W}) AS INTEGER) AS q, first_value(event_id) OVER ({_W}) AS f, ROUND(percent_rank() OVER ({_W}), 8) AS p, ROUND(cume_dist() OVER ({_W}), 8) AS c FROM events")
 
 R.add(
     "sessionize",

@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from quarry.session import shared_dir
 
-#: An empty field is null, a quoted empty one is an empty text.
-CSV = {"header": "true", "nullValue": "", "escape": '"', "multiLine": "true"}
+#: An empty field is null, a quoted empty one is an empty text. The reader takes an unquoted empty field for its mark
+#: of null, whatever that is, so the mark is one that no empty text equals.
+CSV = {"header": "true", "escape": '"', "multiLine": "true"}
+CSV_WRITE = CSV | {"nullValue": ""}
+CSV_READ = CSV | {"nullValue": "\\N"}
 
 
 def write(df: DataFrame, kind: str, partition_by: list[str] | None = None) -> str:
     """Write to a new shared folder and return it."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-    writer = df.write.options(**CSV) if kind == "csv" else df.write
+    writer = df.write.options(**CSV_WRITE) if kind == "csv" else df.write
     (writer.partitionBy(*partition_by) if partition_by else writer).format(kind).save(path)
     return path
 
@@ -24,7 +27,7 @@ def write(df: DataFrame, kind: str, partition_by: list[str] | None = None) -> st
 def read(spark: SparkSession, kind: str, path: str, schema) -> DataFrame:
     """Read with a schema: nothing is inferred, so nothing is read twice."""
     reader = spark.read.schema(schema)
-    return (reader.options(**CSV) if kind == "csv" else reader).format(kind).load(path)
+    return (reader.options(**CSV_READ) if kind == "csv" else reader).format(kind).load(path)
 
 
 def round_trip(df: DataFrame, kind: str) -> DataFrame:
