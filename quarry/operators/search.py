@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import durable
+
 
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -60,17 +62,14 @@ def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:
     return words.groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def _equal(term: str):
-    return lambda w: w == F.lit(term)
-
-
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(key, score)`` of documents with a term of ``query``. Only the query's terms are counted and exchanged."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counted = docs.select(key, F.size(words).alias("len"), words.alias("w"))
+    """``(key, score)`` of documents with a term of ``query``. Texts are read once; only the query's terms are kept and exchanged."""
+    split = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    # bound once: the list of words is built a single time per document
+    of = F.transform(F.array(split), lambda w: F.struct(F.size(w).alias("len"), F.filter(w, lambda x: x.isin(*query)).alias("w")))[0]
+    counted = durable(docs.select(key, of.alias("c")).select(key, "c.len", "c.w"))
     stats = counted.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
-    hits = counted.select(key, "len", F.explode(F.array(*[F.struct(F.lit(t).alias("term"), F.size(F.filter("w", _equal(t))).alias("tf")) for t in query])).alias("h"))
-    hits = hits.select(key, "len", "h.*").where("tf > 0")
+    hits = counted.select(key, "len", F.explode("w").alias("term")).groupBy(key, "len", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
