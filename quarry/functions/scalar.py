@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,3 +87,54 @@ def json_typeof(text: Column) -> Column:
     first = F.substring(F.trim(text), 1, 1)
     kind = F.when(first == "{", "object").when(first == "[", "array").when(first == '"', "string").when(first.isin("t", "f"), "boolean").when(first == "n", "null").otherwise("number")
     return F.when(F.try_parse_json(text).isNotNull(), kind)
+
+
+def midpoint(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """struct(lat, lon) half way along the great circle."""
+    a, b, c, d = (F.radians(x) for x in (lat1, lon1, lat2, lon2))
+    x, y = F.cos(c) * F.cos(d - b), F.cos(c) * F.sin(d - b)
+    lat = F.atan2(F.sin(a) + F.sin(c), F.sqrt(F.pow(F.cos(a) + x, 2) + y * y))
+    return F.struct(F.degrees(lat).alias("lat"), F.degrees(b + F.atan2(y, F.cos(a) + x)).alias("lon"))
+
+
+def destination(lat: Column, lon: Column, degrees: Column, km: Column) -> Column:
+    """struct(lat, lon) after ``km`` in a direction."""
+    a, b, t, d = F.radians(lat), F.radians(lon), F.radians(degrees), km / EARTH_KM
+    to = F.asin(F.sin(a) * F.cos(d) + F.cos(a) * F.sin(d) * F.cos(t))
+    east = F.atan2(F.sin(t) * F.sin(d) * F.cos(a), F.cos(d) - F.sin(a) * F.sin(to))
+    return F.struct(F.degrees(to).alias("lat"), F.degrees(b + east).alias("lon"))
+
+
+def vincenty_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Distance on the WGS-84 ellipsoid by Vincenty's inverse formula; spherical where it does not settle."""
+
+    @F.pandas_udf("double")
+    def km(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        major, flat = 6378.137, 1 / 298.257223563  # fixed values: WGS-84
+        minor = major * (1 - flat)
+        a, b, c, d = (np.radians(x.to_numpy(float)) for x in (a, b, c, d))
+        u1, u2, far = np.arctan((1 - flat) * np.tan(a)), np.arctan((1 - flat) * np.tan(c)), d - b
+        lam, settled = far.copy(), np.zeros(len(far), bool)
+        with np.errstate(all="ignore"):
+            for _ in range(60):
+                sin_s = np.hypot(np.cos(u2) * np.sin(lam), np.cos(u1) * np.sin(u2) - np.sin(u1) * np.cos(u2) * np.cos(lam))
+                cos_s = np.sin(u1) * np.sin(u2) + np.cos(u1) * np.cos(u2) * np.cos(lam)
+                sigma = np.arctan2(sin_s, cos_s)
+                sin_a = np.where(sin_s == 0, 0, np.cos(u1) * np.cos(u2) * np.sin(lam) / np.where(sin_s == 0, 1, sin_s))
+                cos2_a = 1 - sin_a**2
+                mid = np.where(cos2_a == 0, 0, cos_s - 2 * np.sin(u1) * np.sin(u2) / np.where(cos2_a == 0, 1, cos2_a))
+                k = flat / 16 * cos2_a * (4 + flat * (4 - 3 * cos2_a))
+                new = far + (1 - k) * flat * sin_a * (sigma + k * sin_s * (mid + k * cos_s * (2 * mid**2 - 1)))
+                settled = np.abs(new - lam) < 1e-12
+                lam = new
+                if settled.all():
+                    break
+            u = cos2_a * (major**2 - minor**2) / minor**2
+            p = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
+            q = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
+            turn = q * sin_s * (mid + q / 4 * (cos_s * (2 * mid**2 - 1) - q / 6 * mid * (4 * sin_s**2 - 3) * (4 * mid**2 - 3)))
+            h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin(far / 2) ** 2
+            sphere = 2 * EARTH_KM * np.arcsin(np.minimum(np.sqrt(h), 1))
+        return pd.Series(np.where(settled & np.isfinite(lam), minor * p * (sigma - turn), sphere))
+
+    return km(lat1, lon1, lat2, lon2)

@@ -69,8 +69,29 @@ R.add(
     f"SELECT c_custkey, round(fmod(degrees(atan2(sin(radians(2 - lon)) * cos(radians(48)), cos(radians(lat)) * sin(radians(48)) - sin(radians(lat)) * cos(radians(48)) * cos(radians(2 - lon)))) + 360, 360), 6) AS deg FROM ({_PLACE})",
 )(lambda spark, sf: _places(spark, sf).select("c_custkey", F.round(S.bearing(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)), 6).alias("deg")))
 
+R.add("geo_vincenty")(lambda spark, sf: _places(spark, sf).select("c_custkey", S.vincenty_km(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)).alias("km")))
+R.add(
+    "geo_midpoint",
+    f"""WITH p AS ({_PLACE}), r AS (SELECT c_custkey, radians(lat) AS a, radians(lon) AS b, radians(48) AS c, radians(2 - lon) AS l FROM p)
+    SELECT c_custkey, round(degrees(atan2(sin(a) + sin(c), sqrt(pow(cos(a) + cos(c) * cos(l), 2) + pow(cos(c) * sin(l), 2)))), 6) AS lat,
+           round(degrees(b + atan2(cos(c) * sin(l), cos(a) + cos(c) * cos(l))), 6) AS lon FROM r""",
+)(
+    lambda spark, sf: _places(spark, sf)
+    .select("c_custkey", S.midpoint(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)).alias("m"))
+    .select("c_custkey", F.round("m.lat", 6).alias("lat"), F.round("m.lon", 6).alias("lon"))
+)
+R.add(
+    "geo_destination",
+    f"""WITH p AS ({_PLACE}), r AS (SELECT c_custkey, radians(lat) AS a, radians(lon) AS b, radians(60) AS t, 500 / 6371.0088 AS d FROM p),
+         q AS (SELECT *, asin(sin(a) * cos(d) + cos(a) * sin(d) * cos(t)) AS z FROM r)
+    SELECT c_custkey, round(degrees(z), 6) AS lat, round(degrees(b + atan2(sin(t) * sin(d) * cos(a), cos(d) - sin(a) * sin(z))), 6) AS lon FROM q""",
+)(
+    lambda spark, sf: _places(spark, sf)
+    .select("c_custkey", S.destination(F.col("lat"), F.col("lon"), F.lit(60.0), F.lit(500.0)).alias("m"))
+    .select("c_custkey", F.round("m.lat", 6).alias("lat"), F.round("m.lon", 6).alias("lon"))
+)
+
 # documents: the JSON text of events.props
-_PROPS = "props"
 sql("json_valid", "SELECT event_id, try_parse_json(props) IS NOT NULL AS ok FROM events", "SELECT event_id, coalesce(json_valid(props), false) AS ok FROM events")
 R.add("json_typeof", "SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE lower(json_type(props)) END AS kind FROM events")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", S.json_typeof(F.col("props")).alias("kind"))
