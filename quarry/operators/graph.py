@@ -209,6 +209,139 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return by.agg((F.sum("inside") / m2 - F.sum(F.col("n") * F.col("n")) / (m2 * m2)).alias("q"))
 
 
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 10) -> DataFrame:
+    """``(node, community)`` of high modularity, named by the least node in each; parallel edges add weight, direction does not count.
+
+    All nodes of a level choose at once, in turn towards smaller and towards larger communities so that no two swap; a round that
+    does not raise modularity is undone. Communities then become the nodes of the next level.
+    """
+    ends = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
+    pairs = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    e = durable(pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
+    own = durable(e.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
+    for _ in range(levels):
+        moved = _settle(e, resolution, rounds)
+        if moved is None:
+            break
+        own = durable(own.join(moved.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
+        e = durable(_between(e, moved).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+    least = own.groupBy("community").agg(F.min("node").alias("to"))
+    return own.join(least, "community").select("node", F.col("to").alias("community"))
+
+
+def _between(e: DataFrame, at: DataFrame) -> DataFrame:
+    """``(a, b, w)``: the communities at both ends of each edge."""
+    a, b = at.select(F.col("node").alias("src"), F.col("community").alias("a")), at.select(F.col("node").alias("dst"), F.col("community").alias("b"))
+    return e.join(a, "src").join(b, "dst").select("a", "b", "w")
+
+
+def _settle(e: DataFrame, resolution: float, rounds: int) -> DataFrame | None:
+    """``(node, community)`` after one level of moves, or None if no move raises modularity."""
+    at = durable(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")))
+    m2 = at.agg(F.sum("k")).first()[0]
+    if not m2:
+        return None
+
+    def quality(d: DataFrame) -> float:
+        by = _between(e, d).groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
+        return by.agg(F.sum("inside") / m2 - resolution * F.sum(F.col("k") * F.col("k")) / (m2 * m2)).first()[0]
+
+    best, failed, rose = quality(at), 0, False
+    for r in range(rounds):
+        near = e.where("src <> dst").join(at.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "w")
+        options = near.unionByName(at.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        options = options.join(at.groupBy("community").agg(F.sum("k").alias("total")), "community")
+        options = options.join(at.select("node", "k", F.col("community").alias("now")), "node")
+        stays = F.col("community") == F.col("now")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
+        way = F.col("community") <= F.col("now") if r % 2 == 0 else F.col("community") >= F.col("now")
+        pick = F.max_by("community", F.struct(F.round(gain, 9), stays, -F.col("community")))
+        new = durable(options.where(way).groupBy("node").agg(F.first("k").alias("k"), pick.alias("community")))
+        q = quality(new)
+        if q > best + 1e-9:
+            at, best, failed, rose = new, q, 0, True
+        else:
+            failed += 1
+            if failed == 2:
+                break
+    return at.select("node", "community") if rose else None
+
+
+def simple_paths(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+    """``(source, node, hops, path, cost)``: all paths of up to ``max_hops`` edges from ``seeds`` (node) without a repeated node.
+
+    ``cost`` adds ``weight``, or hops where the edges have none. Paths grow with degree to the power of ``max_hops``.
+    """
+    w = F.col("weight") if "weight" in edges.columns else F.lit(1)
+    e = edges.where("src <> dst").groupBy("src", "dst").agg(F.min(w).alias("weight"))
+    step = seeds.select(F.col("node").alias("source"), "node", F.lit(0).alias("hops"), F.array("node").alias("path")).distinct()
+    step = step.withColumn("cost", F.lit(0).cast(e.schema["weight"].dataType))
+    out = None
+    for _ in range(max_hops):
+        grown = step.join(e, (step["node"] == e["src"]) & ~F.array_contains("path", e["dst"]))
+        step = grown.select("source", F.col("dst").alias("node"), F.col("hops") + 1, F.array_append("path", F.col("dst")), F.col("cost") + F.col("weight")).toDF("source", "node", "hops", "path", "cost")
+        out = step if out is None else out.unionByName(step)
+    return out
+
+
+def k_shortest(edges: DataFrame, seeds: DataFrame, k: int, max_hops: int) -> DataFrame:
+    """The ``k`` cheapest of :func:`simple_paths` per source and node, with ``rank``; ties to fewer hops, then the smaller path."""
+    w = Window.partitionBy("source", "node").orderBy("cost", "hops", "path")
+    return simple_paths(edges, seeds, max_hops).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def expand(edges: DataFrame, rows: DataFrame, key: str, depth: int) -> DataFrame:
+    """``rows`` with every node within ``depth`` hops of their ``key``: ``related`` and its ``hops``, the key itself at 0."""
+    e = edges.select("src", "dst").distinct()
+    seen = durable(rows.where(F.col(key).isNotNull()).select(F.col(key).alias("_s")).distinct().select("_s", F.col("_s").alias("related"), F.lit(0).alias("hops")))
+    edge = seen
+    for d in range(1, depth + 1):
+        step = edge.join(e, edge["related"] == e["src"]).select("_s", F.col("dst").alias("related")).distinct()
+        edge = durable(step.join(seen, ["_s", "related"], "left_anti").withColumn("hops", F.lit(d)))
+        seen = durable(seen.unionByName(edge).select("_s", "related", "hops"))
+    return rows.join(seen, rows[key] == seen["_s"]).drop("_s")
+
+
+def walk(edges: DataFrame, seeds: DataFrame, steps: list[str]) -> DataFrame:
+    """``(node, n)``: how many walkers stand on each node after ``steps`` of out, in, both or dedup.
+
+    Walkers on one node are one row with a count, so a step costs a row per edge and not per walk.
+    """
+    at = seeds.select("node").groupBy("node").agg(F.count("*").alias("n"))
+    out = edges.select("src", "dst")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    ways = {"out": out, "in": back, "both": out.unionByName(back)}
+    for s in steps:
+        if s == "dedup":
+            at = at.withColumn("n", F.lit(1).cast("long"))
+        else:
+            e = ways[s]
+            at = at.join(e, at["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum("n").alias("n"))
+    return at
+
+
+def match_triples(triples: DataFrame, patterns: list[tuple[str, str, str]], optional: list[tuple[str, str, str]] = ()) -> DataFrame:
+    """Bindings of ``?names`` in patterns over ``(s, p, o)``: natural joins on shared names, outer for ``optional`` ones.
+
+    A name twice in one pattern must be the same value. Patterns should share names in the order given.
+    """
+    def one(pattern: tuple[str, str, str]) -> DataFrame:
+        d, names = triples, {}
+        for place, term in zip(("s", "p", "o"), pattern, strict=True):
+            if not term.startswith("?"):
+                d = d.where(F.col(place) == term)
+            elif term[1:] in names:
+                d = d.where(F.col(place) == F.col(names[term[1:]]))
+            else:
+                names[term[1:]] = place
+        return d.select(*[F.col(c).alias(n) for n, c in names.items()])
+
+    def join(how: str):
+        return lambda a, b: a.join(b, [c for c in a.columns if c in b.columns], how)
+
+    return reduce(join("left"), map(one, optional), reduce(join("inner"), map(one, patterns)))
+
+
 def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``(node, level)``: nodes whose predecessors are all in lower levels; an error on a cycle."""
     left, rest, out, level = durable(edges.select("src", "dst").distinct()), durable(nodes_of(edges)), None, 0

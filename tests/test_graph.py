@@ -56,3 +56,37 @@ def test_communities_and_levels(spark):
     hub = {r.node: (r.hub, r.authority) for r in graph.hits(frame(spark, [(1, 2), (1, 3)])).collect()}
     assert hub[1] == pytest.approx((1, 0)) and hub[2] == pytest.approx((0, 0.5**0.5))
     assert {r.node: r.score for r in graph.eigenvector(frame(spark, [(1, 2), (2, 3), (1, 3)])).collect()}[1] == pytest.approx(3**-0.5)
+
+
+def test_louvain_finds_cliques(spark):
+    cliques = [range(0, 6), range(6, 12), range(12, 18)]
+    edges = [(a, b) for c in cliques for a in c for b in c if a < b] + [(0, 6), (6, 12), (3, 3)]
+    got = {r.node: r.community for r in graph.louvain(frame(spark, edges)).collect()}
+    assert got == {n: c[0] for c in cliques for n in c}
+    assert graph.louvain(frame(spark, [])).collect() == []
+
+
+def test_louvain_beats_single_nodes(spark):
+    rng = random.Random(5)
+    edges = [(a, b) for a in range(40) for b in range(a) if rng.random() < (0.5 if a // 10 == b // 10 else 0.05)]
+    f = frame(spark, edges)
+    q = graph.modularity(f, graph.louvain(f)).first().q
+    truth = spark.createDataFrame([(n, n // 10) for n in range(40)], "node long, community long")
+    assert q >= graph.modularity(f, truth).first().q - 0.02 > 0.3
+
+
+def test_simple_paths_and_k_shortest(spark):
+    edges = [(1, 2, 5), (1, 3, 1), (3, 2, 1), (2, 4, 1), (4, 1, 1), (1, 2, 7)]
+    e = spark.createDataFrame(edges, "src long, dst long, weight long")
+    seed = spark.range(1, 2).withColumnRenamed("id", "node")
+    paths = {tuple(r.path): r.cost for r in graph.simple_paths(e, seed, 3).collect()}
+    assert paths == {(1, 2): 5, (1, 3): 1, (1, 3, 2): 2, (1, 2, 4): 6, (1, 3, 2, 4): 3}
+    best = {r.node: tuple(r.path) for r in graph.k_shortest(e, seed, 1, 3).collect()}
+    assert best == {2: (1, 3, 2), 3: (1, 3), 4: (1, 3, 2, 4)}
+
+
+def test_match_triples(spark):
+    t = spark.createDataFrame([("a", "knows", "b"), ("b", "knows", "a"), ("b", "age", "7"), ("c", "knows", "c")], "s string, p string, o string")
+    got = graph.match_triples(t, [("?x", "knows", "?y")], [("?y", "age", "?n")]).collect()
+    assert {(r.x, r.y, r.n) for r in got} == {("a", "b", "7"), ("b", "a", None), ("c", "c", None)}
+    assert [r.x for r in graph.match_triples(t, [("?x", "knows", "?x")]).collect()] == ["c"]
