@@ -262,7 +262,7 @@ def _settle(e: DataFrame, resolution: float, rounds: int) -> DataFrame | None:
             at, best, failed, rose = new, q, 0, True
         else:
             failed += 1
-            if failed == 2:
+            if rose or failed == 2:
                 break
     return at.select("node", "community") if rose else None
 

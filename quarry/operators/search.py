@@ -39,6 +39,22 @@ def similar(vectors: DataFrame, queries: DataFrame, k: int = 10, metric: str = "
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def quantised_search(vectors: DataFrame, queries: DataFrame, k: int = 10, over: int = 32) -> DataFrame:
+    """The ``k`` nearest by cosine: a first pass over vectors of bytes keeps ``over * k`` a query, which are ranked again exactly.
+
+    A vector's bytes are its components by its greatest, times 127; the first pass adds whole numbers alone.
+    """
+    byte = lambda v: F.transform(v, lambda x: F.round(x * F.lit(127.0) / F.greatest(F.array_max(F.transform(v, F.abs)), F.lit(1e-30))).cast("int"))
+    whole = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0), lambda s, x: s + x)
+    small = vectors.withColumn("_b", byte(F.col("embedding"))).withColumn("_n", whole(F.col("_b"), F.col("_b")))
+    asked = F.broadcast(queries.withColumn("_q", byte(F.col("query"))))
+    rough = whole(F.col("_b"), F.col("_q")) / F.sqrt(F.greatest("_n", F.lit(1)))
+    pairs = small.crossJoin(asked).where("vec_id <> query_id").select("query_id", "vec_id", "embedding", "query", rough.alias("_s"))
+    first = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_s"), "vec_id"))).where(F.col("_r") <= k * over)
+    exact = first.select("query_id", "vec_id", distance(F.col("embedding"), F.col("query"), "cosine").alias("distance"))
+    return exact.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).where(F.col("rank") <= k)
+
+
 def ivf_search(vectors: DataFrame, queries: DataFrame, lists: int = 16, probes: int = 4, k: int = 10, sample: int = 20_000) -> DataFrame:
     """Nearest by squared distance among the ``probes`` lists whose centres are nearest; centres from a bounded sample."""
     from pyspark.ml.clustering import KMeans
@@ -76,6 +92,15 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
     return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(key).agg(F.sum(idf * tf).alias("score"))
 
 
+def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, term, tf, df, weight)``: counts times the logarithm of (documents + 1) / (df + 1), plus 1."""
+    tf = durable(tokens(docs, key, text))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n = docs.agg(F.count("*").alias("_docs"))
+    weight = F.col("tf") * (F.ln((F.col("_docs") + 1) / (F.col("df") + 1)) + 1)
+    return tf.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", "tf", "df", weight.alias("weight"))
+
+
 def fuse_rrf(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of ranked heads (key, rank from 1)."""
     parts = [d.select(key, (1 / (F.lit(k) + F.col("rank"))).alias("s")) for d in lists]

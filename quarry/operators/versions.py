@@ -11,6 +11,13 @@ def update(df: DataFrame, where: Column, values: dict[str, Column]) -> DataFrame
     return df.withColumns({c: F.when(where, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def update_first(df: DataFrame, key: str, order: list[Column], n: int, values: dict[str, Column]) -> DataFrame:
+    """Updates the first ``n`` rows (a bounded number, which is broadcast) of ``order``; ``key`` tells rows apart."""
+    first = df.orderBy(*order).limit(n).select(F.col(key).alias("_first"))
+    marked = df.join(F.broadcast(first), df[key] == F.col("_first"), "left")
+    return update(marked, F.col("_first").isNotNull(), values).drop("_first")
+
+
 def delete(df: DataFrame, where: Column) -> DataFrame:
     """Rows for which the condition is unknown stay."""
     return df.where(~F.coalesce(where, F.lit(False)))
@@ -32,3 +39,11 @@ def changes(df: DataFrame, key: str, order: list[str], column: str) -> DataFrame
     w = Window.partitionBy(key).orderBy(*order)
     seen = df.withColumn("before", F.lag(column).over(w)).withColumn("op", F.when(F.row_number().over(w) == 1, "insert").otherwise("update"))
     return seen.where(~F.col("before").eqNullSafe(F.col(column)) | (F.col("op") == "insert"))
+
+
+def retain(df: DataFrame, key: str, at: str, tie: str, most: int, max_age_seconds: int) -> DataFrame:
+    """The latest ``most`` rows of each key that are not older than the age, counted back from the latest row of all."""
+    last = df.agg(F.max(at).alias("_last"))
+    young = df.crossJoin(F.broadcast(last)).where(F.unix_micros(at) >= F.unix_micros("_last") - max_age_seconds * 1_000_000).drop("_last")
+    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
+    return young.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
