@@ -33,6 +33,21 @@ _PAIRS = np.array([[1 << (i - 1) | 1 << ((i ^ s) - 1) for i in range(1, 32) if i
 
 def fingerprints_of(texts: list[str], size: int = 3) -> np.ndarray:
     """SimHash of each whole text over the XXH64 (seed 42) of its word shingles, repeats included."""
+    return tables_of(texts, size, 1)[:, 0]
+
+
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    """The hashes themselves for table 0; for another, hashes of them that have nothing to do with those of the rest."""
+    if table == 0:
+        return h
+    z = h + np.uint64(table * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def tables_of(texts: list[str], size: int, tables: int) -> np.ndarray:
+    """Texts by tables: independent SimHashes of each text, all over the same shingles."""
     from xxhash import xxh64_intdigest
 
     hashes, counts = array("Q"), []
@@ -48,7 +63,7 @@ def fingerprints_of(texts: list[str], size: int = 3) -> np.ndarray:
             counts.append(1 if words else 0)
             if words:
                 hashes.append(xxh64_intdigest(b" ".join(words), 42))
-    out = np.zeros(len(texts), dtype=np.uint64)
+    out = np.zeros((len(texts), tables), dtype=np.uint64)
     n = np.array(counts, dtype=np.int64)
     some = np.flatnonzero(n)
     if not len(some):
@@ -61,16 +76,18 @@ def fingerprints_of(texts: list[str], size: int = 3) -> np.ndarray:
     of_run = np.repeat(np.cumsum(runs) - runs, runs)
     at = np.repeat(first, runs) + 255 * (np.arange(runs.sum()) - of_run)
     seg = np.cumsum(runs) - runs
-    for bit in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(bit)) & _LANES, at)
-        ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), seg, axis=0)
-        for lane in range(8):
-            out[some] |= (2 * ones[:, lane] > n).astype(np.uint64) << np.uint64(8 * lane + bit)
+    for table in range(tables):
+        ht = _mixed(h, table)
+        for bit in range(8):
+            lanes = np.add.reduceat((ht >> np.uint64(bit)) & _LANES, at)
+            ones = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), seg, axis=0)
+            for lane in range(8):
+                out[some, table] |= (2 * ones[:, lane] > n).astype(np.uint64) << np.uint64(8 * lane + bit)
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``(doc_id, fp)`` per row; ``fp`` is the 64 bits as a signed long. Null text has no words."""
+def fingerprints(docs: DataFrame, size: int = 3, tables: int = 1) -> DataFrame:
+    """``(doc_id, fps)`` per row; ``fps`` has the 64 bits of each table as a signed long. Null text has no words."""
 
     def go(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -78,10 +95,12 @@ def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                fp = fingerprints_of([t or "" for t in part.column(1).to_pylist()], size)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                fps = tables_of([t or "" for t in part.column(1).to_pylist()], size, tables)
+                ends = pa.array(np.arange(0, fps.size + 1, tables, dtype=np.int32))
+                lists = pa.ListArray.from_arrays(ends, pa.array(fps.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "fps"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(go, "doc_id long, fps array<long>")
 
 
 def anchors_of(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,21 +121,23 @@ def _anchor_rows(different: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            node, fp = (batch.column(i).to_numpy() for i in (0, 1))
+            node, fp, table = (batch.column(i).to_numpy() for i in (0, 1, 2))
             bits = fp.view(np.uint64)
             for side in (0, 1):
                 all_of, there = anchors_of((bits >> np.uint64(32 * side)).astype(np.uint32))
                 row, col = np.nonzero(there)
-                cell = all_of[row, col].astype(np.int64) | side << 32
+                cell = all_of[row, col].astype(np.int64) | side << 32 | table[row].astype(np.int64) << 33
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cell), pa.array(node[row]), pa.array(fp[row]), pa.array(col == 0)], names=["cell", "node", "fp", "home"]
                 )
 
-    return different.select("node", "fp").mapInArrow(go, "cell long, node long, fp long, home boolean")
+    if "table" not in different.columns:
+        different = different.withColumn("table", F.lit(0))
+    return different.select("node", "fp", "table").mapInArrow(go, "cell long, node long, fp long, home boolean")
 
 
 def links(different: DataFrame, most: int = 1024) -> DataFrame:
-    """Spanning links ``(src, dst)`` between nodes whose fingerprints differ in at most three bits."""
+    """Spanning links ``(src, dst)`` between nodes whose fingerprints (of one ``table``, if there are more) differ in at most three bits."""
 
     def go(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -139,19 +160,29 @@ def links(different: DataFrame, most: int = 1024) -> DataFrame:
     return dealt.mapInArrow(go, "src long, dst long")
 
 
-def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per row of ``docs``.
+def near_duplicates(docs: DataFrame, size: int = 3, tables: int = 1) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per row of ``docs``; ``fp`` is the fingerprint of the first table.
 
     Null and empty texts have fingerprint 0, which links like any other. Rows without a doc_id keep their
     fingerprint, link nothing and have no component. A repeated doc_id is not a link of its own: each row is
     placed by its fingerprint. No rows give no rows; other columns are ignored.
+
+    Texts of less likeness differ in more than three bits of most fingerprints; with more ``tables``, texts that
+    are within three bits in any of these independent fingerprints are linked.
     """
-    own = durable(fingerprints(docs, size))
-    different = durable(own.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
-    of_node = connected_components(links(different))
-    of_fp = different.join(of_node, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    found = own.join(of_fp, "fp", "left")
-    return found.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    own = durable(fingerprints(docs, size, tables))
+    different = durable(own.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node")))
+    each = different.select("node", F.posexplode("fps").alias("table", "fp"))
+    if tables == 1:
+        edges = links(each)
+    else:
+        first = durable(each.groupBy("table", "fp").agg(F.min("node").alias("node")))
+        same = each.join(first.withColumnRenamed("node", "first"), ["table", "fp"]).where("node <> first")
+        edges = links(first).unionByName(same.select(F.col("node").alias("src"), F.col("first").alias("dst")))
+    of_node = connected_components(edges)
+    of_fp = different.join(of_node, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
+    found = own.join(of_fp, "fps", "left")
+    return found.select("doc_id", F.col("fps")[0].alias("fp"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def op3_simhash(spark, sf_dir) -> DataFrame:

@@ -4,24 +4,34 @@ import re
 import numpy as np
 import xxhash
 
-from quarry.llm.simhash import anchors_of, fingerprints_of, links, near_duplicates, op3_simhash
+from quarry.llm.simhash import anchors_of, fingerprints_of, links, near_duplicates, op3_simhash, tables_of
 from quarry.operators.components import connected_components
 
 
-def plain(text):
+def mixed(h, table):
+    if table:
+        h = (h + table * 0x9E3779B97F4A7C15) % 2**64
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+        h ^= h >> 31
+    return h
+
+
+def plain(text, size=3, table=0):
     text = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
-    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) > 2 else [" ".join(words)] * bool(words)
-    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    shingles = [" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] if len(words) >= size else [" ".join(words)] * bool(words)
+    hashes = [mixed(xxhash.xxh64_intdigest(s.encode(), seed=42), table) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
 def components(fps):
-    """id -> smallest id reachable, by brute force."""
+    """id -> smallest id reachable, by brute force; a list of fingerprints links where any of them does."""
+    fps = {k: v if isinstance(v, list) else [v] for k, v in fps.items()}
     label = {k: k for k in fps}
     keys = list(fps)
     changed = True
-    near = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if bin(fps[a] ^ fps[b]).count("1") <= 3]
+    near = [(a, b) for i, a in enumerate(keys) for b in keys[i + 1 :] if any((x ^ y).bit_count() <= 3 for x, y in zip(fps[a], fps[b], strict=True))]
     while changed:
         changed = False
         for a, b in near:
@@ -37,6 +47,7 @@ def test_fingerprints():
     texts = ["", " \n", "One", "one TWO", "É a\x0bb\x1cc d", "a b c", "x " * 2000]
     texts += [" ".join(rng.choices("ab Cd é ÀX\t".split(" "), k=rng.randint(1, 900))) for _ in range(60)]
     assert fingerprints_of(texts).tolist() == [plain(t) for t in texts]
+    assert tables_of(texts, 5, 3).tolist() == [[plain(t, 5, k) for k in range(3)] for t in texts]
     assert fingerprints_of(["", ""]).tolist() == [0, 0] and len(fingerprints_of([])) == 0
 
 
