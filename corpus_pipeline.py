@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm import langid, lines, packing, secrets, simhash
+from quarry.llm import langid, lines, nearcopies, packing, secrets
 from quarry.session import shared_dir
 
 ORACLE_SQL = None  # trained models and tokenizers are not SQL; tests hold the stages against brute force
@@ -37,15 +37,15 @@ def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group; of repeated rows of that id, one. Rows without id stay.
+    """Keeps the row of least doc_id, then least hash of its text, of each group; of equal rows, one. Rows without id stay.
 
-    Shingles are of five words. Texts that share 0.8 of theirs differ in 3 to 10 bits of 64, so four independent fingerprints are held
-    against each other; the README has the share that this finds.
+    Groups are of texts that share 0.8 or more of their shingles of five words, compared by their whole sets.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"), size=5, tables=4)
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    known = docs.where("doc_id IS NOT NULL")
+    found = nearcopies.near_copies(known.select("doc_id", "text"), size=5, least=(4, 5))
+    stays = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "node")).alias("r")).select("r.doc_id", F.col("r.node").alias("_node"))
+    kept = known.withColumn("_node", F.xxhash64(F.coalesce("text", F.lit("")))).join(stays, ["doc_id", "_node"], "left_semi")
+    return kept.dropDuplicates(["doc_id", "_node"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
