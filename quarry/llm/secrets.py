@@ -1,13 +1,15 @@
 """Operator 5: secret scans with a random forest that removes false positives, in DataFrame operations alone.
 
 A finding is a run of 16 or more characters of keys and tokens with a digit in it, alone or as the value of an
-assignment (``name=value``, ``name: "value"``). Features of a finding: its length, how often it changes
+assignment (``name=value``, ``name: "value"``), each of several in a word by itself; or any other value of six characters or more
+that a name of credentials is given, quoted or up to a blank or separator. Features of a finding: its length, how often it changes
 between lower case, upper case, digits and signs, how many different characters and digits it has, how much of
 it are dictionary words (the commonest words of the corpus, counted over all documents), and, hashed, the
 words around it, the name it is assigned to and the document's path (``source``).
 
 The forest is trained from labelled findings. Where none are given they are labelled from a distance: a finding
-in a provider's fixed format, or assigned to a name of credentials, is a secret; any other is not. At most
+in a provider's fixed format, or assigned to a name of credentials, is a secret; any other is not, nor is a plain
+word after a name, colon and blank, as in prose. At most
 about ``sample`` of them, spread by a hash, are learned from. If they are not of both kinds there is no forest
 and the labels stand. Null and empty texts have no findings; each row of a repeated doc_id is scanned by itself.
 A missing ``source`` counts as empty. Only the columns named here are read.
@@ -27,7 +29,11 @@ RUN = r"[A-Za-z0-9+/_.\-]{16,}"
 #: Names that credentials are assigned to, and formats that providers give theirs.
 NAMES = "api_?key|apikey|access_?key|auth|credential|passw(?:or)?d|private_?key|pwd|secret|token"
 FORMATS = r"^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})$"
+#: A name of credentials and what it is given: in double quotes, in single ones, or bare.
+GIVEN = rf"""(?i)(?<![A-Za-z])({NAMES.replace("_?", "[_-]?")})["']?\s{{0,3}}(?:=>|[=:]{{1,2}})\s{{0,3}}(?:"([^"\r\n]{{6,}})"|'([^'\r\n]{{6,}})'|([^\s"'&,;<>(){{}}\[\]]{{6,}}))"""
 MASK = "[SECRET]"
+#: Characters beside a finding that its name and the words around it are read from.
+NEAR = 80
 WORDS = ("before2", "before1", "after1", "name", "path")
 NUMBERS = ("length", "changes", "kinds", "digits", "upper", "signs", "coverage")
 
@@ -38,36 +44,59 @@ def dictionary(docs: DataFrame, size: int = 20_000) -> DataFrame:
     return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select("word")
 
 
-def findings(docs: DataFrame) -> DataFrame:
-    """``(doc_id, start, value, before2, before1, after1, name, path)``; ``start`` counts characters from 0."""
-    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
-    some = docs.select("doc_id", "text", path.alias("path")).where(F.col("text").rlike(RUN))
+def _spots(rows: DataFrame, text: str, pattern: str) -> DataFrame:
+    """A row per match of ``pattern`` in column ``text``: ``m``, and ``at``, the characters before it."""
+    both = rows.withColumns({"_m": F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), "_p": F.split(text, pattern, -1)})
+    long = lambda c: F.aggregate(c, F.lit(0), lambda n, x: n + F.length(x))
+    both = both.select("*", F.posexplode("_m").alias("_j", "m"))
+    return both.withColumn("at", long(F.slice("_p", 1, F.col("_j") + 1)) + long(F.slice("_m", 1, F.col("_j")))).drop("_m", "_p", "_j")
+
+
+def _runs(docs: DataFrame) -> DataFrame:
+    some = docs.where(F.col("text").rlike(RUN))
     words = some.select("doc_id", "path", F.split("text", r"\s").alias("_w"))
     near = lambda i, k: F.coalesce(F.get("_w", i + k), F.lit(""))
     hits = F.filter(F.transform("_w", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].rlike(RUN) & s["w"].rlike("[0-9]"))
-    rows = words.select("doc_id", "path", "_w", F.explode(hits).alias("h")).select("doc_id", "path", "_w", "h.i", "h.w")
-    value = F.regexp_extract("w", rf"({RUN})[^A-Za-z0-9]*$", 1)
-    value = F.when(F.length(value) > 0, value).otherwise(F.regexp_extract("w", f"({RUN})", 1))
-    rows = rows.withColumn("value", F.rtrim(value, F.lit("."))).where(F.length("value") >= 16).where(F.col("value").rlike("[0-9]"))
-    own = F.regexp_extract("w", r"^[^A-Za-z]*([A-Za-z_]{2,30})[\"']?[=:]", 1)
-    signs = near(F.col("i"), -1).rlike(r"^[=:]+$")
-    name = F.when(own != "", own).when(signs, near(F.col("i"), -2)).when(near(F.col("i"), -1).rlike("[=:]$"), near(F.col("i"), -1)).otherwise("")
-    lead = F.when(F.col("i") > 0, F.length(F.array_join(F.slice("_w", 1, F.col("i")), " ")) + 1).otherwise(0)
-    return rows.select(
-        "doc_id",
-        (lead + F.expr("locate(value, w)") - 1).cast("long").alias("start"),
-        "value",
-        F.lower(near(F.col("i"), -2)).alias("before2"),
-        F.lower(near(F.col("i"), -1)).alias("before1"),
-        F.lower(near(F.col("i"), 1)).alias("after1"),
-        F.lower(F.regexp_replace(name, r"[^A-Za-z_]", "")).alias("name"),
-        "path",
-    )
+    rows = words.select("doc_id", "path", "_w", F.explode(hits).alias("h")).select("doc_id", "path", "h.i", "h.w", *[near(F.col("h.i"), k).alias(n) for n, k in (("w2", -2), ("w1", -1), ("w3", 1))], F.when(F.col("h.i") > 0, F.length(F.array_join(F.slice("_w", 1, F.col("h.i")), " ")) + 1).otherwise(0).alias("lead"))
+    rows = _spots(rows, "w", RUN).withColumn("value", F.rtrim("m", F.lit("."))).where(F.length("value") >= 16).where(F.col("value").rlike("[0-9]"))
+    rows = rows.withColumn("pre", F.expr(f"substring(w, greatest(at - {NEAR}, 0) + 1, least(at, {NEAR}))")).withColumn("post", F.expr(f"substring(w, at + length(m) + 1, {NEAR})"))
+    own = F.regexp_extract("pre", r"([A-Za-z][A-Za-z_\-]{1,29})[\"']?[=:]+[^A-Za-z0-9=:]*$", 1)
+    alone = ~F.col("pre").rlike("[A-Za-z0-9]")
+    name = F.when(own != "", own).when(alone & F.col("w1").rlike(r"^[=:]+$"), F.col("w2")).when(alone & F.col("w1").rlike("[=:]$"), F.col("w1")).otherwise("")
+    parts = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+    before = F.concat(F.array("w2", "w1"), parts(F.col("pre")))
+    after = F.concat(parts(F.col("post")), F.array("w3"))
+    return rows.select("doc_id", (F.col("lead") + F.col("at")).alias("start"), "value", F.element_at(before, -2).alias("before2"), F.element_at(before, -1).alias("before1"), after[0].alias("after1"), name.alias("name"), "path")
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    """Values of credential names that are no runs of their own."""
+    rows = _spots(docs.where(F.col("text").rlike(GIVEN)), "text", GIVEN)
+    part = lambda k: F.regexp_extract("m", GIVEN, k)
+    quoted = (part(4) == "").cast("int")
+    value = F.when(quoted == 1, F.concat(part(2), part(3))).otherwise(part(4))
+    rows = rows.select("*", part(1).alias("name"), value.alias("_v"), (F.col("at") + F.length("m") - F.length(value) - quoted).alias("start"))
+    rows = rows.withColumn("value", F.when(F.col("_v").rlike(r"[^.]\.+$") & (quoted == 0), F.rtrim("_v", F.lit("."))).otherwise(F.col("_v")))
+    rows = rows.where((F.length("value") >= 6) & ~(F.col("value").rlike(f"^{RUN}$") & F.col("value").rlike("[0-9]")))
+    lead = F.expr("substring(text, at + 1, start - at)")
+    words = F.split(F.expr(f"substring(text, greatest(at - {NEAR}, 0) + 1, least(at, {NEAR}))"), r"\s+")
+    after = F.split(F.expr(f"substring(text, at + length(m) + 1, {NEAR})"), r"\s+")
+    near = F.when(lead.rlike(r"\s$"), F.regexp_replace(lead, r"\s", "")).otherwise(F.col("name"))
+    return rows.select("doc_id", "start", "value", F.element_at(words, -1).alias("before2"), near.alias("before1"), F.coalesce(F.get(after, F.lit(1)), F.lit("")).alias("after1"), "name", "path")
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """``(doc_id, start, value, before2, before1, after1, name, path)``; ``start`` counts characters from 0."""
+    path = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+    some = docs.select("doc_id", "text", path.alias("path"))
+    rows = _runs(some).unionByName(_given(some)).withColumn("start", F.col("start").cast("long"))
+    return rows.withColumn("name", F.lower(F.regexp_replace("name", r"[^A-Za-z_]", ""))).withColumns({c: F.lower(c) for c in ("before2", "before1", "after1")})
 
 
 def labelled(found: DataFrame) -> DataFrame:
     """Labels from a distance: 1.0 for fixed formats and for values of credential names."""
-    yes = F.col("value").rlike(FORMATS) | F.col("name").rlike(f"^(?:[a-z_]*_)?(?:{NAMES})$")
+    prose = F.col("value").rlike("^[A-Z]?[a-z]+$") & F.col("before1").rlike(":$")
+    yes = F.col("value").rlike(FORMATS) | F.col("name").rlike(f"^(?:[a-z_]*_)?(?:{NAMES})$") & ~prose
     return found.withColumn("label", yes.cast("double"))
 
 
