@@ -75,11 +75,14 @@ def within_polygon(lat: Column, lon: Column, corners: list[tuple[float, float]])
 
 
 def money(text: Column) -> Column:
-    """``'USD 12.34'`` or ``'12.34 USD'`` -> struct(asset, minor, scale)."""
-    asset = F.regexp_extract(text, "([A-Z]{3,10})", 1)
-    number = F.regexp_extract(text, r"(-?[0-9]+(?:\.[0-9]+)?)", 1)
-    scale = F.length(F.regexp_extract(number, r"\.([0-9]+)", 1))
-    return F.struct(asset.alias("asset"), F.replace(number, F.lit("."), F.lit("")).cast("long").alias("minor"), scale.alias("scale"))
+    """``'USD 12.34'``, ``'12.34 USD'`` or with thousands as in ``'1,234.50 USD'`` -> struct(asset, minor, scale); null for any other text."""
+    number = r"(-?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?)"
+    front, back = rf"^\s*([A-Z]{{3,10}})\s+{number}\s*$", rf"^\s*{number}\s+([A-Z]{{3,10}})\s*$"
+    of = lambda a, b: F.when(text.rlike(front), F.regexp_extract(text, front, a)).when(text.rlike(back), F.regexp_extract(text, back, b))
+    figure = F.replace(of(2, 1), F.lit(","), F.lit(""))
+    scale = F.length(F.regexp_extract(figure, r"\.([0-9]+)", 1))
+    whole = F.struct(of(1, 2).alias("asset"), F.replace(figure, F.lit("."), F.lit("")).cast("long").alias("minor"), scale.alias("scale"))
+    return F.when(text.rlike(front) | text.rlike(back), whole)
 
 
 def json_typeof(text: Column) -> Column:

@@ -46,24 +46,60 @@ def join_null_safe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, left[key].eqNullSafe(right[key]))
 
 
-def join_as_of(left: DataFrame, right: DataFrame, by: str, at: str, take: list[str]) -> DataFrame:
-    """Each left row with the latest right row of its ``by`` not later than ``at``; nulls where there is none.
+def join_as_of(left: DataFrame, right: DataFrame, by: str, at: str, take: list[str], chunk_seconds: int = 86_400) -> DataFrame:
+    """Each left row with the latest right row of its ``by`` not later than ``at`` (a time); nulls where there is none.
 
-    Both sides go through one window, sorted once per key: no pair of rows is made that does not stay.
-    ``right`` has one row per (by, at).
+    Null keys and null times match nothing; such left rows stay. Both sides go through one window per key and chunk of time, and
+    what a chunk needs from before is the last right row of each earlier chunk: no pair of rows is made that does not
+    stay, and a busy key is as many tasks as it has chunks. ``right`` has one row per (by, at).
     """
-    value = F.struct(*take)
-    both = left.withColumn("_v", F.lit(None)).withColumn("_left", F.lit(1))
-    other = right.select(by, at, value.alias("_v"), F.lit(0).alias("_left"))
-    rows = both.drop("_v").unionByName(other, allowMissingColumns=True)
-    w = Window.partitionBy(by).orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1")
-    return out.select(*left.columns, *[F.col(f"_v.{c}").alias(c) for c in take])
-
-
-def join_range(left: DataFrame, right: DataFrame, low: str, high: str, at: str, width: int) -> DataFrame:
-    """Pairs with low <= at < high by buckets of ``width`` (a typical length of the ranges), not by all pairs."""
-    cells = F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width)))
-    a = left.withColumn("_cell", cells)
+    chunk = F.floor(F.unix_seconds(at) / chunk_seconds).alias("_chunk")
+    known = right.where(F.col(by).isNotNull() & F.col(at).isNotNull())
+    other = known.select(by, at, chunk, F.struct(*take).alias("_v"), F.lit(0).alias("_left"))
+    rows = left.withColumn("_chunk", chunk).withColumn("_left", F.lit(1)).unionByName(other, allowMissingColumns=True)
+    last = other.groupBy(by, "_chunk").agg(F.max_by("_v", at).alias("_last"))
+    chunks = rows.where(F.col(by).isNotNull()).select(by, "_chunk").distinct().join(last, [by, "_chunk"], "left")
+    before = Window.partitionBy(by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = chunks.select(by, "_chunk", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    w = Window.partitionBy(by, "_chunk").orderBy(at, "_left").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_left = 1").join(carried, [by, "_chunk"], "left")
+    value = F.coalesce("_v", "_carried")
+    return found.select(*left.columns, *[F.when(F.col(at).isNotNull(), value.getField(c)).alias(c) for c in take])
+
+
+def join_range(left: DataFrame, right: DataFrame, low: str, high: str, at: str, width: float) -> DataFrame:
+    """Pairs with low <= at < high by buckets of ``width`` (a typical length of the ranges), not by all pairs.
+
+    Numbers of any kind; empty and null ranges match nothing. A range longer than ``width`` has a row per bucket. A crowded bucket is
+    a hot key of an ordinary join, which AQE splits.
+    """
+    cells = F.explode(F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width)))
+    a = left.where(F.col(low) < F.col(high)).withColumn("_cell", cells)
     b = right.withColumn("_cell", F.floor(F.col(at) / width))
     return a.join(b, "_cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
+
+
+def quantified(df: DataFrame, value: str, op: str, sub: DataFrame, column: str, every: bool) -> DataFrame:
+    """``df`` with ``holds``: whether ``value op ANY`` (or, with ``every``, ``ALL``) of ``column`` of ``sub``; three-valued as in SQL.
+
+    ``op`` is one of < <= > >= = <>. ANY over no rows is false, ALL is true. One row of figures is broadcast, not ``sub``, but for equality.
+    """
+    s = sub.agg(F.count("*").alias("_all"), F.count(column).alias("_some"), F.min(column).alias("_min"), F.max(column).alias("_max"))
+    rows = df.crossJoin(F.broadcast(s))
+    v, least, most = F.col(value), F.col("_min"), F.col("_max")
+    if op in ("=", "<>"):
+        there = sub.where(F.col(column).isNotNull()).select(F.col(column).alias("_x")).distinct().withColumn("_in", F.lit(True))
+        rows = rows.join(there, rows[value] == there["_x"], "left").drop("_x")
+        found = F.coalesce(F.col("_in"), F.lit(False))
+        differs = (least != most) | (least != v)  # some value of the list is another
+        hit = {("=", False): found, ("=", True): ~differs, ("<>", False): differs, ("<>", True): ~found}[op, every]
+    else:
+        bound = {("<", False): most, ("<=", False): most, (">", False): least, (">=", False): least, ("<", True): least, ("<=", True): least, (">", True): most, (">=", True): most}[op, every]
+        hit = {"<": v < bound, "<=": v <= bound, ">": v > bound, ">=": v >= bound}[op]
+    nulls = F.col("_all") > F.col("_some")
+    unknown = F.lit(None).cast("boolean")
+    if every:
+        holds = F.when(F.col("_all") == 0, True).when(v.isNull(), unknown).when(F.col("_some") == 0, unknown).when(~hit, False).when(nulls, unknown).otherwise(True)
+    else:
+        holds = F.when(F.col("_all") == 0, False).when(v.isNull(), unknown).when(F.col("_some") == 0, unknown).when(hit, True).when(nulls, unknown).otherwise(False)
+    return rows.withColumn("holds", holds).select(*df.columns, "holds")

@@ -47,3 +47,30 @@ def retain(df: DataFrame, key: str, at: str, tie: str, most: int, max_age_second
     young = df.crossJoin(F.broadcast(last)).where(F.unix_micros(at) >= F.unix_micros("_last") - max_age_seconds * 1_000_000).drop("_last")
     w = Window.partitionBy(key).orderBy(F.desc(at), F.desc(tie))
     return young.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+
+
+def compare_and_set(df: DataFrame, key: str, column: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (key, expected, new): the new value where the present one equals the expected (null equals null), else none; ``swapped`` tells.
+
+    Keys that are not there are not added. ``wanted`` has one row per key.
+    """
+    both = df.join(wanted.select(key, F.col("expected").alias("_e"), F.col("new").alias("_n"), F.lit(True).alias("_asked")), key, "left")
+    hit = F.col("_asked").isNotNull() & F.col(column).eqNullSafe(F.col("_e"))
+    return both.withColumn("swapped", F.when(F.col("_asked").isNotNull(), hit)).withColumn(column, F.when(hit, F.col("_n")).otherwise(F.col(column))).select(*df.columns, "swapped")
+
+
+def insert(df: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``df`` and the rows of ``new`` whose key is not there yet, one per key (the least by all columns); columns that ``new`` lacks are null."""
+    first = new.groupBy(key).agg(F.min(F.struct(*new.columns)).alias("_r")).select("_r.*")
+    return df.unionByName(first.join(df.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+def change_log(old: DataFrame, new: DataFrame, key: str, redact: list[str] = ()) -> DataFrame:
+    """``(key, op, before, after)`` between two states of a table; ``redact`` columns are null in both. One row per key that changed."""
+    cols = [c for c in old.columns if c != key]
+    shown = F.struct(*[F.lit(None).cast(old.schema[c].dataType).alias(c) if c in redact else F.col(c) for c in cols])
+    plain = F.struct(*cols)
+    a = old.select(key, plain.alias("_a"), shown.alias("before"))
+    b = new.select(key, plain.alias("_b"), shown.alias("after"))
+    op = F.when(F.col("_a").isNull(), "insert").when(F.col("_b").isNull(), "delete").otherwise("update")
+    return a.join(b, key, "full").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(key, op.alias("op"), "before", "after")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import aggregates, relational
-from quarry.plans.sqlviews import adder
+from quarry.plans.sqlviews import adder, stacked_views
 from quarry.registry import Registry
 from quarry.session import table
 
@@ -78,6 +78,12 @@ sql("filter_between", "SELECT p_partkey FROM part WHERE p_size BETWEEN 5 AND 15
 sql("filter_like", "SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%A%' AND p_name NOT LIKE '_a%'")
 sql("filter_starts_ends", "SELECT p_partkey FROM part WHERE p_type LIKE 'S%' OR p_type LIKE '%L'", "SELECT p_partkey FROM part WHERE starts_with(p_type, 'S') OR ends_with(p_type, 'L')")
 sql("filter_contains", "SELECT doc_id FROM documents WHERE contains(text, 'token')", "SELECT doc_id FROM documents WHERE contains(text, 'token')")
+sql("filter_contains_array", "SELECT doc_id FROM documents WHERE array_contains(split(text, ' '), 'the')", "SELECT doc_id FROM documents WHERE list_contains(string_split(text, ' '), 'the')")
+sql(
+    "filter_contains_json",
+    "SELECT event_id FROM events WHERE exists(from_json(concat('[{\"t\":\"', event_type, '\",\"in\":[', event_id % 7, ',', event_id % 11, ']}]'), 'array<struct<t:string,in:array<bigint>>>'), x -> x.t = 'click' AND array_contains(x.in, 3L))",
+    "SELECT event_id FROM events WHERE event_type = 'click' AND (event_id % 7 = 3 OR event_id % 11 = 3)",
+)
 sql("filter_regex", "SELECT doc_id FROM documents WHERE text RLIKE '[0-9]{16}'", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{16}')")
 sql("case_searched", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 50000 THEN 'mid' ELSE 'low' END AS band FROM orders")
 sql("case_simple", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 0 END AS code FROM orders")
@@ -94,17 +100,36 @@ R.add("within_tenant", "SELECT user_id, COUNT(*) AS n FROM events WHERE event_ty
 sql("join_inner", "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey")
 sql("join_left", "SELECT c_custkey, COUNT(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")
 sql("join_right", "SELECT o.o_orderkey, c.c_name FROM customer c RIGHT JOIN orders o ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0")
-sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM (SELECT * FROM customer WHERE c_custkey < 60) c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey")
-sql("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n WHERE n.n_nationkey < 5")
+sql("join_full", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL OUTER JOIN supplier s ON c.c_custkey = s.s_suppkey * 20")
+sql("join_cross", "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n")
+sql("join_left_filter", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 40")
 sql("join_chain", "SELECT r_name, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey GROUP BY r_name")
 sql("join_semi", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
 sql("join_in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
-sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-sql("join_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+sql("join_anti", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+sql("join_not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
 sql("subquery_scalar", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)")
 sql("subquery_correlated", "SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT AVG(i.o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
-sql("subquery_any", "SELECT p_partkey FROM part WHERE p_retailprice > (SELECT MIN(p_retailprice) FROM part WHERE p_size = 10)", "SELECT p_partkey FROM part WHERE p_retailprice > ANY (SELECT p_retailprice FROM part WHERE p_size = 10)")
-sql("subquery_all", "SELECT p_partkey FROM part WHERE p_retailprice >= (SELECT MAX(p_retailprice) FROM part WHERE p_size = 10)", "SELECT p_partkey FROM part WHERE p_retailprice >= ALL (SELECT p_retailprice FROM part WHERE p_size = 10)")
+for _name, _op, _every, _of in (
+    ("subquery_any", ">", False, "p_size = 10"),
+    ("subquery_all", ">=", True, "p_size = 10"),
+    ("subquery_any_equal", "=", False, "p_size = 10"),
+    ("subquery_all_differ", "<>", True, "p_size = 10"),
+):
+    R.add(_name, f"SELECT p_partkey FROM part WHERE p_retailprice {_op} {'ALL' if _every else 'ANY'} (SELECT p_retailprice FROM part WHERE {_of})")(
+        lambda spark, sf, op=_op, every=_every, of=_of: relational.quantified(table(spark, sf, "part"), "p_retailprice", op, table(spark, sf, "part").where(of).select(F.col("p_retailprice").alias("x")), "x", every)
+        .where("holds")
+        .select("p_partkey")
+    )
+R.add("subquery_empty", "SELECT p_partkey, p_retailprice < ANY (SELECT p_retailprice FROM part WHERE p_size = 999) AS some, p_retailprice < ALL (SELECT p_retailprice FROM part WHERE p_size = 999) AS every FROM part")(
+    lambda spark, sf: relational.quantified(
+        relational.quantified(table(spark, sf, "part"), "p_retailprice", "<", table(spark, sf, "part").where("p_size = 999").selectExpr("p_retailprice AS x"), "x", False).withColumnRenamed("holds", "some"),
+        "p_retailprice", "<", table(spark, sf, "part").where("p_size = 999").selectExpr("p_retailprice AS x"), "x", True,
+    ).select("p_partkey", "some", F.col("holds").alias("every"))
+)
+R.add("subquery_all_nulls", "SELECT p_partkey, p_retailprice > ALL (SELECT NULLIF(p_retailprice, 950) FROM part WHERE p_size = 10) AS holds FROM part")(
+    lambda spark, sf: relational.quantified(table(spark, sf, "part"), "p_retailprice", ">", table(spark, sf, "part").where("p_size = 10").selectExpr("NULLIF(p_retailprice, 950) AS x"), "x", True).select("p_partkey", "holds")
+)
 sql("join_natural", "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, c_nationkey AS k FROM customer) NATURAL JOIN (SELECT s_suppkey, s_nationkey AS k FROM supplier)")
 R.add(
     "join_null_safe",
@@ -199,7 +224,24 @@ sql("order_nulls", "SELECT o_orderkey FROM orders ORDER BY NULLIF(o_orderstatus,
 sql("union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 sql("union_distinct", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 sql("intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-sql("except", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")
+sql("except", "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000")
 sql("cte", "WITH a AS (SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey), b AS (SELECT MAX(n) AS m FROM a) SELECT o_custkey FROM a JOIN b ON a.n = b.m")
 sql("cte_columns", "WITH a(k, v) AS (SELECT c_custkey, c_acctbal FROM customer) SELECT k FROM a WHERE v < 0")
 sql("cte_recursive", "WITH RECURSIVE t(n, s) AS (SELECT 1, CAST(0 AS BIGINT) UNION ALL SELECT n + 1, s + n FROM t WHERE n < 20) SELECT t.n, t.s, nation.n_name FROM t JOIN nation ON nation.n_nationkey = t.n")
+R.add("agg_stored_match", "SELECT l_returnflag, COUNT(*) AS n, MAX(l_quantity) AS high FROM lineitem GROUP BY 1")(
+    lambda spark, sf: aggregates.from_stored(
+        table(spark, sf, "lineitem"),
+        [
+            (table(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.count("*").alias("c")), ["l_linestatus"], {"c": ("count", None)}),
+            (table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("c"), F.max("l_quantity").alias("m")), ["l_returnflag", "l_linestatus"], {"c": ("count", None), "m": ("max", "l_quantity")}),
+        ],
+        ["l_returnflag"],
+        {"n": ("count", None), "high": ("max", "l_quantity")},
+    )
+)
+sql("view_stacked", "SELECT k, n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM (SELECT * FROM orders WHERE o_orderstatus = 'O') WHERE o_totalprice > 50000 GROUP BY o_custkey) WHERE n > 3")
+R.queries["view_stacked"] = lambda spark, sf: stacked_views(spark, {
+    "quarry_open": table(spark, sf, "orders").where("o_orderstatus = 'O'"),
+    "quarry_large": "SELECT * FROM quarry_open WHERE o_totalprice > 50000",
+    "quarry_busy": "SELECT o_custkey AS k, COUNT(*) AS n FROM quarry_large GROUP BY o_custkey",
+}, "SELECT k, n FROM quarry_busy WHERE n > 3")

@@ -52,8 +52,8 @@ _H = "2 * 6371.0088 * asin(least(sqrt(pow(sin(radians(48 - lat) / 2), 2) + cos(r
 R.add("geo_distance", f"SELECT c_custkey, round({_H}, 6) AS km FROM ({_PLACE})")(
     lambda spark, sf: _places(spark, sf).select("c_custkey", F.round(S.haversine_km(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)), 6).alias("km"))
 )
-R.add("geo_radius", f"SELECT c_custkey FROM ({_PLACE}) WHERE {_H} <= 3000")(
-    lambda spark, sf: _places(spark, sf).where(S.haversine_km(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)) <= 3000).select("c_custkey")
+R.add("geo_radius", f"SELECT c_custkey FROM ({_PLACE}) WHERE {_H} <= 5000")(
+    lambda spark, sf: _places(spark, sf).where(S.haversine_km(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)) <= 5000).select("c_custkey")
 )
 R.add("geo_nearest", f"SELECT c_custkey, round({_H}, 6) AS km FROM ({_PLACE}) ORDER BY round({_H}, 6), c_custkey LIMIT 10")(
     lambda spark, sf: _places(spark, sf).select("c_custkey", F.round(S.haversine_km(F.col("lat"), F.col("lon"), F.lit(48.0), F.lit(2.0)), 6).alias("km")).orderBy("km", "c_custkey").limit(10)
@@ -98,3 +98,9 @@ R.add("json_typeof", "SELECT event_id, CASE json_type(props) WHEN 'OBJECT' THEN
 )
 sql("json_object", "SELECT n_nationkey, to_json(named_struct('name', n_name, 'region', n_regionkey)) AS j, to_json(array(n_nationkey, n_regionkey)) AS a FROM nation", "SELECT n_nationkey, CAST(json_object('name', n_name, 'region', n_regionkey) AS VARCHAR) AS j, CAST(json_array(n_nationkey, n_regionkey) AS VARCHAR) AS a FROM nation")
 sql("json_array_length", "SELECT n_nationkey, json_array_length(concat('[', n_regionkey, ',1]')) AS n FROM nation", "SELECT n_nationkey, CAST(json_array_length('[' || n_regionkey || ',1]') AS INTEGER) AS n FROM nation")
+sql("fn_now", "SELECT event_id, now() > ts AS past, CURRENT_TIMESTAMP() >= now() - INTERVAL 1 DAY AS same, CURRENT_DATE() > CAST(ts AS DATE) AS later FROM events", "SELECT event_id, CAST(now() AS TIMESTAMP) > ts AS past, true AS same, CURRENT_DATE > CAST(ts AS DATE) AS later FROM events")
+R.add("fn_money_forms", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'USD' END AS asset, CASE c_custkey % 4 WHEN 0 THEN c_custkey + 1234500 WHEN 1 THEN c_custkey END AS minor, CASE c_custkey % 4 WHEN 0 THEN 3 WHEN 1 THEN 0 END AS scale FROM customer")(
+    lambda spark, sf: table(spark, sf, "customer")
+    .select("c_custkey", S.money(F.expr("CASE c_custkey % 4 WHEN 0 THEN concat(format_number((c_custkey + 1234500) / 1000, 3), ' EUR') WHEN 1 THEN concat(' USD ', c_custkey) WHEN 2 THEN 'usd 5' ELSE '12.3.4 USD' END")).alias("m"))
+    .select("c_custkey", "m.*")
+)

@@ -18,6 +18,13 @@ def run_sql(spark: SparkSession, sf: str, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+def stacked_views(spark: SparkSession, views: dict[str, DataFrame | str], query: str) -> DataFrame:
+    """Views over views, in order; their predicates meet in one plan."""
+    for name, of in views.items():
+        (spark.sql(of) if isinstance(of, str) else of).createOrReplaceTempView(name)
+    return spark.sql(query)
+
+
 def adder(registry: Registry):
     """``add(name, spark_sql, oracle=None)``: a statement, with its oracle where the dialects differ."""
 
