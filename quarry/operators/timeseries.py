@@ -48,10 +48,10 @@ def ranking(df: DataFrame, score: str, tie: str, top: int, ascending: bool = Fal
 
 
 def rank_of(df: DataFrame, score: str, tie: str, key: int) -> DataFrame:
-    """The exact rank of one row: how many come before it, by an aggregate without a sort."""
-    mine = df.where(F.col(tie) == key).select(F.col(score).alias("_s"), F.col(tie).alias("_k"))
+    """The exact rank of one row: how many come before it, by an aggregate without a sort. No row where ``key`` is not there."""
+    mine = df.where(F.col(tie) == key).select(F.col(score).alias("_s"), F.col(tie).alias("_k")).limit(1)
     ahead = (F.col(score) > F.col("_s")) | ((F.col(score) == F.col("_s")) & (F.col(tie) < F.col("_k")))
-    return df.crossJoin(F.broadcast(mine)).where(ahead).agg((F.count("*") + 1).alias("rank"))
+    return df.crossJoin(F.broadcast(mine)).groupBy("_k").agg((F.count_if(ahead) + 1).alias("rank")).select("rank")
 
 
 def approx_rank_of(df: DataFrame, score: str, value: float, steps: int = 100) -> DataFrame:
@@ -61,12 +61,23 @@ def approx_rank_of(df: DataFrame, score: str, value: float, steps: int = 100) ->
     return q.select(F.round(above * F.col("n")).cast("long").alias("approx_rank"), "n")
 
 
-def increases(df: DataFrame, series: list[str], ts: str, value: str) -> DataFrame:
-    """Adds ``delta`` and ``seconds`` since the sample before in its series; a counter that falls was reset to zero."""
-    w = Window.partitionBy(*series).orderBy(ts)
-    before = F.lag(value).over(w)
+def increases(df: DataFrame, series: list[str], ts: str, value: str, chunk_seconds: int = 86_400) -> DataFrame:
+    """Adds ``delta`` and ``seconds`` since the sample before in its series; a counter that falls was reset to zero.
+
+    Samples are ordered within a series and chunk of time; a chunk's first sample follows the last one of the chunk before it
+    that has any. A busy series is as many tasks as it has chunks. Samples without a time take no part.
+    """
+    rows = df.where(F.col(ts).isNotNull()).withColumn("_chunk", F.floor(F.unix_seconds(ts) / chunk_seconds))
+    w = Window.partitionBy(*series, "_chunk").orderBy(ts)
+    own = F.struct(F.col(value).alias("v"), F.col(ts).alias("t"))
+    last = rows.groupBy(*series, "_chunk").agg(F.max_by(own, ts).alias("_last"))
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*series).orderBy("_chunk"))).drop("_last")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*series, "_chunk"]]
+    joined = rows.withColumn("_own", F.lag(own).over(w)).alias("r").join(carried.alias("c"), same, "left")
+    joined = joined.select(*[f"r.{c}" for c in df.columns], F.coalesce("_own", "_carried").alias("_b"))
+    before = F.col("_b.v")
     delta = F.when(F.col(value) >= before, F.col(value) - before).when(before.isNotNull(), F.col(value))
-    return df.withColumn("delta", delta).withColumn("seconds", (F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))) / 1e6)
+    return joined.withColumn("delta", delta).withColumn("seconds", (F.unix_micros(ts) - F.unix_micros("_b.t")) / 1e6).drop("_b")
 
 
 def rate(df: DataFrame, series: list[str], ts: str, value: str, window_seconds: int) -> DataFrame:
@@ -96,6 +107,64 @@ def refresh_aggregate(df: DataFrame, ts: str, value: str, seconds: int, last: st
     return new.groupBy(time_bucket(ts, seconds).alias("bucket")).agg(F.avg(finite).alias("avg"), F.count(finite).alias("n"))
 
 
+class ContinuousAggregate:
+    """Sums and counts per bucket, kept in a folder with the time up to which they were taken.
+
+    Each ``refresh`` reads the rows from that time to ``now - lag``, rounded down to whole buckets and at most ``max_interval`` further,
+    appends their buckets and then moves the time: a refresh that fails is simply repeated. Rows that come later
+    than their bucket's refresh are not seen. Times are seconds since 1970.
+    """
+
+    def __init__(self, spark, folder: str, ts: str, value: str, seconds: int, lag: int, start: int, max_interval: int | None = None) -> None:
+        self.spark, self.folder, self.ts, self.value, self.seconds = spark, folder.rstrip("/"), ts, value, seconds
+        self.lag, self.start, self.max_interval = lag, start, max_interval
+
+    def upto(self) -> int:
+        """The stored time: that of the latest folder of buckets that was written whole."""
+        base = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        fs = base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(base):
+            return self.start
+        done = [f.getPath().getName() for f in fs.listStatus(base) if fs.exists(f.getPath().suffix("/_SUCCESS"))]
+        return max([int(n.split("=")[1]) for n in done], default=self.start)
+
+    def refresh(self, df: DataFrame, now: int) -> int:
+        """Takes in what is due; returns the new time. ``upto`` names the folder, so a repeated refresh replaces its own."""
+        at, floor = self.upto(), lambda t: t - t % self.seconds
+        until = floor(now - self.lag)
+        if self.max_interval is not None:
+            until = min(until, floor(at + self.max_interval))
+        if until <= at:
+            return at
+        t = F.unix_micros(self.ts)
+        finite = F.when(~F.isnan(self.value) & (F.abs(self.value) != float("inf")), F.col(self.value))
+        due = df.where((t >= at * 1_000_000) & (t < until * 1_000_000))
+        out = due.groupBy(time_bucket(self.ts, self.seconds).alias("bucket")).agg(F.sum(finite).alias("sum"), F.count(finite).alias("n"))
+        out.write.mode("overwrite").parquet(f"{self.folder}/upto={until}")
+        return until
+
+    def read(self) -> DataFrame:
+        """All buckets so far, merged."""
+        kept = self.spark.read.schema("bucket timestamp, sum double, n long, upto long").option("basePath", self.folder).parquet(self.folder)
+        return kept.groupBy("bucket").agg(F.sum("sum").alias("sum"), F.sum("n").alias("n")).withColumn("avg", F.try_divide("sum", "n"))
+
+
+def select_series(df: DataFrame, matchers: list[tuple[str, str, str]]) -> DataFrame:
+    """Samples whose labels match: (label, = | != | =~ | !~, text); patterns are of the whole text, a missing label is empty."""
+    for label, op, text in matchers:
+        v = F.coalesce(F.col(label).cast("string"), F.lit(""))
+        hit = v == text if op in ("=", "!=") else v.rlike(f"^(?:{text})$")
+        df = df.where(~hit if op.startswith("!") else hit)
+    return df
+
+
+def combine_series(a: DataFrame, b: DataFrame, on: list[str], value: str, op: str) -> DataFrame:
+    """``a op b`` of the samples with equal ``on`` (labels and time); others drop out. Division by zero is null."""
+    both = a.select(*on, F.col(value).alias("_a")).join(b.select(*on, F.col(value).alias("_b")), on)
+    x, y = F.col("_a"), F.col("_b")
+    return both.select(*on, {"+": x + y, "-": x - y, "*": x * y, "/": F.try_divide(x, y)}[op].alias(value))
+
+
 def series_budget(df: DataFrame, labels: list[str], most: int) -> DataFrame:
     """How many series there are and whether that is within the budget."""
     n = F.count_distinct(*labels)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quarry.operators import timeseries as ts
 from quarry.plans.sqlviews import adder
 from quarry.registry import Registry
-from quarry.session import table
+from quarry.session import shared_dir, table
 
 R = Registry()
 sql = adder(R)
@@ -56,7 +58,12 @@ R.add("ranking_range", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY c_acc
 R.add("rank_of", "SELECT COUNT(*) + 1 AS rank FROM customer a, customer b WHERE b.c_custkey = 7 AND (a.c_acctbal > b.c_acctbal OR (a.c_acctbal = b.c_acctbal AND a.c_custkey < b.c_custkey))")(
     lambda spark, sf: ts.rank_of(table(spark, sf, "customer"), "c_acctbal", "c_custkey", 7)
 )
-R.add("approx_rank_of")(lambda spark, sf: ts.approx_rank_of(table(spark, sf, "customer"), "c_acctbal", 5000.0))
+R.add("rank_of_unknown", "SELECT COUNT(*) AS rows FROM customer WHERE c_custkey = -5")(lambda spark, sf: ts.rank_of(table(spark, sf, "customer"), "c_acctbal", "c_custkey", -5).agg(F.count("*").alias("rows")))
+R.add("approx_rank_of", "SELECT COUNT(*) AS n, true AS close FROM customer")(
+    lambda spark, sf: ts.approx_rank_of(table(spark, sf, "customer"), "c_acctbal", 5000.0)
+    .crossJoin(F.broadcast(table(spark, sf, "customer").agg(F.count_if(F.col("c_acctbal") > 5000).alias("above"))))
+    .select("n", (F.abs(F.col("approx_rank") - F.col("above")) <= 0.02 * F.col("n")).alias("close"))
+)
 
 R.add(
     "time_bucket_aggregates",
@@ -131,3 +138,35 @@ R.add("series_budget", "SELECT COUNT(*) AS series, COUNT(*) <= 100 AS within FRO
 )
 sql("chunk_listing", "SELECT date_trunc('MONTH', o_orderdate) AS chunk, COUNT(*) AS n FROM orders GROUP BY 1", "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS chunk, COUNT(*) AS n FROM orders GROUP BY 1")
 sql("chunk_pruned_scan", "SELECT COUNT(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-02-01 00:00:00'")
+
+
+def _continued(spark, sf):
+    """Three refreshes, the second of which is held back by its longest interval, and one with nothing to do."""
+    events = table(spark, sf, "events")
+    start = 1_704_153_600  # 2024-01-02
+    kept = ts.ContinuousAggregate(spark, f"{shared_dir(spark).rstrip('/')}/aggregate-{uuid.uuid4().hex}", "ts", "value", 300, 300, start, max_interval=10 * 86_400)
+    for now in (start + 5 * 86_400, start + 18 * 86_400, start + 18 * 86_400 + 7_500, start + 18 * 86_400):
+        kept.refresh(events, now)
+    return kept.read()
+
+
+R.add(
+    "continuous_aggregate_stored",
+    "SELECT (epoch_us(ts) // 300000000) * 300000000 AS bucket_us, ROUND(AVG(value), 6) AS avg, COUNT(value) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-20 02:00:00' GROUP BY 1",
+)(lambda spark, sf: _continued(spark, sf).select(F.unix_micros("bucket").alias("bucket_us"), F.round("avg", 6).alias("avg"), "n"))
+R.add("metric_selector", "SELECT event_type, user_id, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events WHERE regexp_full_match(event_type, 'c.*|view') AND event_type <> 'view' AND user_id <> 3 GROUP BY 1, 2")(
+    lambda spark, sf: ts.select_series(table(spark, sf, "events"), [("event_type", "=~", "c.*|view"), ("event_type", "!=", "view"), ("user_id", "!~", "3")])
+    .groupBy("event_type", "user_id")
+    .agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+)
+
+
+def _daily(spark, sf, kind):
+    e = ts.select_series(table(spark, sf, "events"), [("event_type", "=", kind)])
+    return e.groupBy(F.unix_micros(ts.time_bucket("ts", 86400)).alias("bucket_us")).agg(F.count("*").cast("double").alias("v"))
+
+
+_DAILY = "SELECT (epoch_us(ts) // 86400000000) * 86400000000 AS bucket_us, CAST(COUNT(*) AS DOUBLE) AS v FROM events WHERE event_type = '{0}' GROUP BY 1"
+R.add("metric_ratio", f"SELECT a.bucket_us, ROUND(a.v / b.v, 9) AS v FROM ({_DAILY.format('purchase')}) a JOIN ({_DAILY.format('view')}) b USING (bucket_us)")(
+    lambda spark, sf: ts.combine_series(_daily(spark, sf, "purchase"), _daily(spark, sf, "view"), ["bucket_us"], "v", "/").withColumn("v", F.round("v", 9))
+)

@@ -42,7 +42,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none (tests, local mode).
+    A folder of our own is set only where the session names none, in local mode; on a cluster that is an error.
     """
     sc = spark.sparkContext
     there = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -51,6 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(there)
         return there
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 

@@ -1,7 +1,8 @@
 """Streaming twins of the time operators: a bounded run over what is there, by checkpointed micro-batches.
 
-State is bounded by the watermark. The sink replaces its folder each trigger in complete mode (a
-table of results) or appends Parquet files exactly once; both lie in the shared folder.
+In update and append mode state is bounded by the watermark; in complete mode, which session windows that must all be seen
+at the end of a bounded run need, all results are state. The sink keeps each trigger's changes and reads the last of each key (update),
+replaces its folder each trigger (complete), or appends Parquet files exactly once; all lie in the shared folder.
 """
 
 from __future__ import annotations
@@ -23,13 +24,18 @@ def source(spark: SparkSession, sf: str, name: str, files_per_trigger: int = 4)
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else stream
 
 
-def run(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is available and read its sink."""
+def run(stream: DataFrame, mode: str, keys: list[str] = ()) -> DataFrame:
+    """Run a stream over all that is available and read its sink; ``keys`` tell the results of update mode apart."""
     spark = stream.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "complete":
         q = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{folder}/out")).start()
+    elif mode == "update":
+        q = writer.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/_batch={i:09d}")).start()  # a repeated batch replaces its own
+        q.awaitTermination()
+        kept = spark.read.schema(stream.schema.add("_batch", "long")).option("basePath", f"{folder}/out").parquet(f"{folder}/out/_batch=*")
+        return kept.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("_r")).select("_r.*")
     else:
         q = writer.format("parquet").option("path", f"{folder}/out").start()
     q.awaitTermination()
@@ -46,13 +52,13 @@ def sessions(stream: DataFrame, ts: str, actor: str, gap: str, late: str = "1 ho
     return stream.withWatermark(ts, late).groupBy(actor, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n")).select(actor, F.col("w.start").alias("start"), "n")
 
 
-def first_seen(stream: DataFrame, key: list[str]) -> DataFrame:
-    """Each key once, in the first micro-batch that has it."""
-    return stream.dropDuplicates(key).select(*key)
+def first_seen(stream: DataFrame, ts: str, key: list[str], within: str) -> DataFrame:
+    """Each key once in any stretch of ``within``: keys not seen for longer are forgotten, so state is bounded."""
+    return stream.withWatermark(ts, within).dropDuplicatesWithinWatermark(key).select(*key)
 
 
-def over(name: str, shape: Callable[[DataFrame], DataFrame], mode: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf: run(shape(source(spark, sf, name)), mode)
+def over(name: str, shape: Callable[[DataFrame], DataFrame], mode: str, keys: list[str] = ()) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: run(shape(source(spark, sf, name)), mode, keys)
 
 
 def batch(name: str, shape: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
