@@ -4,25 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.operators import learning, search, versions
+from quarry.operators import aggregates, learning, search, versions
 from quarry.plans.sqlviews import adder
 from quarry.registry import Registry
 from quarry.session import table
 
 R = Registry()
 sql = adder(R)
-_Q = "q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 5)"
+_Q = "q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0)"
 _COS = "1 - list_inner_product(e.embedding::DOUBLE[], q.query::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.query::DOUBLE[], q.query::DOUBLE[])))"
 _L2 = "list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.query::DOUBLE[]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _IP = "-list_inner_product(e.embedding::DOUBLE[], q.query::DOUBLE[])"
 
 
 def _queries(spark, sf):
-    return table(spark, sf, "embeddings").where("vec_id < 5").selectExpr("vec_id AS query_id", "embedding AS query")
+    """The stated query set: every row whose id is divisible by 20."""
+    return table(spark, sf, "embeddings").where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
 
 
 def _nearest(expr: str, where: str = "true") -> str:
-    return f"WITH {_Q}, d AS (SELECT query_id, vec_id, {expr} AS distance FROM embeddings e, q WHERE vec_id <> query_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d WHERE {where}) SELECT query_id, vec_id, ROUND(distance, 6) AS distance, rank FROM r WHERE rank <= 10"
+    return f"WITH {_Q}, d AS (SELECT query_id, vec_id, ROUND({expr}, 12) AS distance FROM embeddings e, q WHERE vec_id <> query_id), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d WHERE {where}) SELECT query_id, vec_id, ROUND(distance, 6) AS distance, rank FROM r WHERE rank <= 10"
 
 
 def _vector(metric, threshold=None):
@@ -33,7 +34,17 @@ R.add("vector_cosine", _nearest(_COS))(_vector("cosine"))
 R.add("vector_l2", _nearest(_L2))(_vector("l2"))
 R.add("vector_inner_product", _nearest(_IP))(_vector("ip"))
 R.add("vector_threshold", _nearest(_COS, "1 - distance >= 0.2"))(_vector("cosine", 0.2))
-R.add("vector_ivf")(lambda spark, sf: search.ivf_search(table(spark, sf, "embeddings").select("vec_id", "embedding"), _queries(spark, sf)))
+def _ivf(spark, sf):
+    return search.ivf_search(table(spark, sf, "embeddings").select("vec_id", "embedding"), _queries(spark, sf))
+
+
+R.add("vector_ivf")(_ivf)
+R.add("vector_ivf_recall", "SELECT COUNT(*) > 0 AS enough FROM embeddings")(
+    lambda spark, sf: search.recall(_ivf(spark, sf), search.similar(table(spark, sf, "embeddings").select("vec_id", "embedding"), _queries(spark, sf), 10, "l2")).select((F.col("recall") >= 0.9).alias("enough"))
+)
+R.add("vector_metadata_filter", _nearest(_COS).replace("FROM embeddings e, q WHERE", "FROM embeddings e, q WHERE (label IN (1, 2, 3) OR label > 7) AND NOT label = 2 AND"))(
+    lambda spark, sf: search.similar(table(spark, sf, "embeddings").where("(label IN (1, 2, 3) OR label > 7) AND NOT label = 2").select("vec_id", "embedding"), _queries(spark, sf), 10).withColumn("distance", F.round("distance", 6))
+)
 R.add("vector_join", f"WITH v AS ({_nearest(_COS)}) SELECT v.query_id, v.vec_id, e.label FROM v JOIN embeddings e USING (vec_id)")(
     lambda spark, sf: _vector("cosine")(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id").select("query_id", "vec_id", "label")
 )
@@ -47,13 +58,19 @@ def _bm(spark, sf):
 
 R.add("text_bm25", f"WITH {_BM} SELECT doc_id, ROUND(score, 8) AS score FROM bm")(lambda spark, sf: _bm(spark, sf).withColumn("score", F.round("score", 8)))
 R.add("text_term_counts", f"WITH {_WORDS} SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY 1, 2")(lambda spark, sf: search.tokens(table(spark, sf, "documents"), "doc_id", "text"))
-sql("text_fuzzy", "SELECT p_partkey, p_name FROM part WHERE levenshtein(lower(p_name), 'part 12') <= 3")
-_LEN = "SELECT doc_id, CAST(n_chars AS DOUBLE) AS score FROM documents"
+R.add("text_fuzzy", f"WITH {_WORDS}, t AS (SELECT doc_id, unnest(w) AS term FROM w) SELECT doc_id, term, CAST(MIN(levenshtein(term, 'thhe')) AS INTEGER) AS edits, COUNT(*) AS tf FROM t WHERE levenshtein(term, 'thhe') <= 2 GROUP BY 1, 2")(
+    lambda spark, sf: search.fuzzy(search.tokens(table(spark, sf, "documents"), "doc_id", "text"), "term", "thhe").select("doc_id", "term", "edits", "tf")
+)
+#: The vector list beside the text list: likeness of each document's vector (of the same id) to that of vector 1.
+_LEN = "SELECT e.vec_id AS doc_id, ROUND(list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_inner_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id = 1 AND e.vec_id <> 1"
 _TOP = "(SELECT doc_id, row_number() OVER (ORDER BY ROUND(score, 8) DESC, doc_id) AS rank FROM {0} QUALIFY rank <= 50)"
 
 
 def _long(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    e = table(spark, sf, "embeddings").where("embedding IS NOT NULL").select("vec_id", "embedding")
+    asked = e.where("vec_id = 1").select(F.col("embedding").alias("query")).limit(1)  # one row
+    near = e.where("vec_id <> 1").crossJoin(F.broadcast(asked))
+    return near.select(F.col("vec_id").alias("doc_id"), F.round(1 - search.distance(F.col("embedding"), F.col("query"), "cosine"), 9).alias("score"))
 
 
 R.add("hybrid_rrf", f"WITH {_BM}, ln AS ({_LEN}), u AS (SELECT * FROM {_TOP.format('bm')} UNION ALL SELECT * FROM {_TOP.format('ln')}) SELECT doc_id, ROUND(SUM(1.0 / (60 + rank)), 9) AS score FROM u GROUP BY 1")(
@@ -72,12 +89,46 @@ R.add("hybrid_filter_then_search", _nearest(_COS).replace("FROM embeddings e, q
 )
 
 # sketches, each beside the exact count it stands for
-R.add("sketch_hll")(lambda spark, sf: table(spark, sf, "events").groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 12)).alias("about"), F.count_distinct("user_id").alias("exact")))
-R.add("sketch_hll_merge")(
-    lambda spark, sf: table(spark, sf, "events").groupBy("event_type").agg(F.hll_sketch_agg("user_id", 12).alias("s")).agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("about"))
-)
-R.add("sketch_quantile")(lambda spark, sf: table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", [0.5, 0.9, 0.99], 1000).alias("q")))
-R.add("sketch_count_min")(lambda spark, sf: table(spark, sf, "events").agg(F.base64(F.count_min_sketch("user_id", F.lit(0.01), F.lit(0.95), F.lit(42))).alias("sketch")))
+def _within(name: str, spark, sf):
+    """Approximate and exact counts of users side by side: whether they are within 5 in 100."""
+    e = table(spark, sf, "events")
+    exact = F.count_distinct("user_id").alias("exact")
+    if name == "merge":
+        about = e.groupBy("event_type").agg(F.hll_sketch_agg("user_id", 12).alias("s")).agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("about"))
+        both = about.crossJoin(e.agg(exact))
+    else:
+        both = e.groupBy("event_type").agg(F.hll_sketch_estimate(F.hll_sketch_agg("user_id", 12)).alias("about"), exact)
+    keys = [c for c in both.columns if c == "event_type"]
+    return both.select(*keys, "exact", (F.abs(F.col("about") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
+R.add("sketch_hll", "SELECT event_type, COUNT(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY 1")(lambda spark, sf: _within("each", spark, sf))
+R.add("sketch_hll_merge", "SELECT COUNT(DISTINCT user_id) AS exact, true AS close FROM events")(lambda spark, sf: _within("merge", spark, sf))
+
+
+def _quantiles(spark, sf):
+    """Whether the approximate quantiles lie between the exact ones two hundredths to either side."""
+    li = table(spark, sf, "lineitem")
+    about = li.groupBy("l_returnflag").agg(F.percentile_approx("l_extendedprice", [0.5, 0.9], 1000).alias("q"))
+    exact = aggregates.nearest_rank(li, ["l_returnflag"], "l_extendedprice", {"a": 0.48, "b": 0.52, "c": 0.88, "d": 0.92})
+    return about.join(exact, "l_returnflag").select("l_returnflag", (F.col("q")[0].between(F.col("a"), F.col("b")) & F.col("q")[1].between(F.col("c"), F.col("d"))).alias("close"))
+
+
+R.add("sketch_quantile", "SELECT DISTINCT l_returnflag, true AS close FROM lineitem")(_quantiles)
+
+
+def _counted(spark, sf):
+    """Count-min estimates of every user's events beside the exact counts: never below, and within e / width of all."""
+    e = table(spark, sf, "events")
+    exact = e.groupBy("user_id").agg(F.count("*").alias("n"))
+    about = search.count_min_estimate(search.count_min(e, "user_id"), e, "user_id")
+    total = e.agg(F.count("*").alias("all"))
+    both = exact.join(about, "user_id").crossJoin(F.broadcast(total))
+    over = F.col("estimate") - F.col("n")
+    return both.agg(F.count("*").alias("users"), (F.min(over) >= 0).alias("never_below"), (F.sum((over > 2.72 / 2048 * F.col("all")).cast("int")) <= 0.05 * F.count("*")).alias("close"))
+
+
+R.add("sketch_count_min", "SELECT COUNT(DISTINCT user_id) AS users, true AS never_below, true AS close FROM events")(_counted)
 R.add("sketch_heavy_hitters", "SELECT user_id, COUNT(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")(lambda spark, sf: table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10))
 R.add("filter_membership", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")(
     lambda spark, sf: table(spark, sf, "orders").join(table(spark, sf, "customer").where("c_acctbal < 0"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
@@ -113,3 +164,52 @@ R.add("change_events", "SELECT user_id, COUNT(*) AS n FROM (SELECT user_id, even
 R.add("ml_naive_bayes")(lambda spark, sf: learning.evaluate(spark, sf, "bayes"))
 R.add("ml_logistic")(lambda spark, sf: learning.evaluate(spark, sf, "logistic"))
 R.add("ml_kmeans")(lambda spark, sf: learning.clusters(table(spark, sf, "embeddings")))
+R.add("ml_classify", "SELECT doc_id, true AS known FROM documents")(
+    lambda spark, sf: learning.classify_documents(spark, sf, "logistic").select("doc_id", (F.col("class").isin(0, 1) & F.col("proba").between(0.5, 1)).alias("known"))
+)
+R.add("ml_predict_proba")(lambda spark, sf: learning.classify_documents(spark, sf, "bayes"))
+R.add("ml_unknown_model", 'SELECT doc_id, CAST(NULL AS INTEGER) AS "class", CAST(NULL AS DOUBLE) AS proba FROM documents')(lambda spark, sf: learning.classify(table(spark, sf, "documents"), None))
+R.add("ml_one_hot", "SELECT p_partkey, p_type, dense_rank() OVER (ORDER BY p_type) - 1 AS slot, (SELECT COUNT(DISTINCT p_type) FROM part) AS slots FROM part WHERE p_type IS NOT NULL")(
+    lambda spark, sf: search.one_hot(table(spark, sf, "part"), "p_partkey", "p_type").select("p_partkey", "p_type", F.col("slot").cast("long").alias("slot"), "slots")
+)
+R.add("ml_dbscan")(lambda spark, sf: learning.dbscan(table(spark, sf, "part").select("p_partkey", "p_size", (F.col("p_retailprice") / 10).alias("price")), "p_partkey", "p_size", "price", 1.5, 6))
+
+# fusion of a structured list with vectors
+_VEC = f"vs AS ({_LEN})"
+R.add("hybrid_rerank", f"WITH {_BM}, {_VEC}, st AS (SELECT doc_id, s AS score FROM {_SC.format('bm')}) SELECT doc_id, ROUND(0.6 * st.score + 0.4 * COALESCE(vs.score, 0), 8) AS score FROM st LEFT JOIN vs USING (doc_id)")(
+    lambda spark, sf: search.rerank(search.scaled(_bm(spark, sf)), _long(spark, sf), "doc_id", 0.4).withColumn("score", F.round("score", 8))
+)
+R.add("hybrid_search_then_filter", f"WITH {_BM}, {_VEC}, hd AS (SELECT doc_id, score FROM vs ORDER BY score DESC, doc_id LIMIT 200) SELECT doc_id, score FROM hd WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")(
+    lambda spark, sf: search.head(_long(spark, sf), "doc_id", 200).join(table(spark, sf, "labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "score")
+)
+R.add("search_ranked", f"WITH {_BM} SELECT doc_id, ROUND(score, 8) AS _score, CAST(row_number() OVER (ORDER BY ROUND(score, 8) DESC, doc_id) AS INTEGER) AS rank FROM bm QUALIFY rank <= 20")(
+    lambda spark, sf: search.head(_bm(spark, sf).withColumn("score", F.round("score", 8)), "doc_id", 20).select("doc_id", F.col("score").alias("_score"), "rank")
+)
+
+# more on keys, values and rows
+R.add(
+    "kv_compare_and_set",
+    "SELECT c_custkey, CASE WHEN s_suppkey IS NOT NULL AND c_nationkey = 3 THEN 99 ELSE c_nationkey END AS c_nationkey, CASE WHEN s_suppkey IS NOT NULL THEN c_nationkey = 3 END AS swapped FROM customer LEFT JOIN supplier ON c_custkey = s_suppkey",
+)(
+    lambda spark, sf: versions.compare_and_set(
+        table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey", table(spark, sf, "supplier").selectExpr("s_suppkey AS c_custkey", "3 AS expected", "99 AS new")
+    )
+)
+R.add("insert_rows", "SELECT c_custkey AS k, c_name AS name, c_acctbal AS bal FROM customer UNION ALL SELECT 1000000 + s_suppkey, s_name, NULL FROM supplier")(
+    lambda spark, sf: versions.insert(
+        table(spark, sf, "customer").selectExpr("c_custkey AS k", "c_name AS name", "c_acctbal AS bal"), table(spark, sf, "supplier").selectExpr("explode(array(s_suppkey + 1000000, 0)) AS k", "s_name AS name"), "k"
+    )
+)
+R.add(
+    "change_log",
+    "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'delete' ELSE 'update' END AS op, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_acctbal + 10 END AS after_bal, c_acctbal AS before_bal FROM customer WHERE c_custkey % 5 = 0 OR c_mktsegment = 'BUILDING'",
+)(
+    lambda spark, sf: versions.change_log(
+        table(spark, sf, "customer"),
+        versions.update(table(spark, sf, "customer").where("c_custkey % 5 <> 0"), F.col("c_mktsegment") == "BUILDING", {"c_acctbal": F.col("c_acctbal") + 10}),
+        "c_custkey",
+        ["c_name"],
+    )
+    .where("before.c_name IS NULL AND after.c_name IS NULL")
+    .select("c_custkey", "op", F.col("after.c_acctbal").alias("after_bal"), F.col("before.c_acctbal").alias("before_bal"))
+)
