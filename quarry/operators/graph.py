@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.components import connected_components
 from quarry.session import durable
 
 
@@ -30,12 +31,20 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
 
 
-def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def directed(edges: DataFrame, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
+    """``(src, dst)`` as they are walked: ``out``, ``in`` or ``both`` ways, only edges whose ``kind`` is one of ``kinds`` where given."""
+    e = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
+    out, back = e.select("src", "dst"), e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+
+def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "out", kinds: list[str] | None = None) -> DataFrame:
     """``(node, depth)``: least number of hops from any of ``seeds`` (node), itself at 0."""
-    seen = durable(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
+    e = durable(directed(edges, direction, kinds))
+    seen = durable(seeds.where("node IS NOT NULL").select("node").distinct().withColumn("depth", F.lit(0)))
     edge = seen
     for d in range(1, depth + 1):
-        step = edges.join(edge, edges["src"] == edge["node"]).select(F.col("dst").alias("node")).distinct()
+        step = e.join(edge, e["src"] == edge["node"]).select(F.col("dst").alias("node")).distinct()
         edge = durable(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         if edge.isEmpty():
             break
@@ -43,20 +52,73 @@ def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_paths(edges: DataFrame, source: int, max_rounds: int = 100) -> DataFrame:
-    """``(node, distance, previous)`` from ``source`` over non-negative weights: relaxed until nothing gets shorter."""
+def traverse(edges: DataFrame, source: int, max_depth: int, direction: str = "out") -> DataFrame:
+    """``(node, depth, path)`` breadth-first from ``source``: nodes are visited in the order of (depth, path), neighbours by id.
+
+    A node's ``path`` is the one of its first visit. Depth-first order is left out: it is inherently sequential.
+    """
+    e = durable(directed(edges, direction))
+    start = e.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0).alias("depth"))
+    seen = durable(start.withColumn("path", F.array("node")))
+    edge = seen
+    for d in range(1, max_depth + 1):
+        step = edge.join(e, edge["node"] == e["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+        first = step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti")
+        edge = durable(first.select("node", F.lit(d).alias("depth"), "path"))
+        if edge.isEmpty():
+            break
+        seen = durable(seen.unionByName(edge))
+    return seen.orderBy("depth", "path")
+
+
+def shortest_paths(edges: DataFrame, source: int, target: int | None = None, max_hops: int | None = None) -> DataFrame:
+    """``(node, distance, previous, path)`` from ``source`` over ``weight``: relaxed until nothing gets shorter.
+
+    Ties go to the smaller path. Weights may be negative; a cycle of negative weight that can be reached is an error.
+    ``max_hops`` bounds the edges of a path. With ``target``, only its row: none if it cannot be reached.
+    """
     spark = edges.sparkSession
-    best = durable(spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("previous")))
-    edge = best
-    for _ in range(max_rounds):
-        step = edge.join(edges, edge["node"] == edges["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("previous"))
-        least = best.unionByName(step).groupBy("node").agg(F.min(F.struct("distance", "previous")).alias("s")).select("node", "s.*")
-        least = durable(least)
-        edge = durable(least.join(best.select("node", F.col("distance").alias("_d")), "node", "left").where("_d IS NULL OR distance < _d").drop("_d"))
+    e = durable(edges.where("src IS NOT NULL AND dst IS NOT NULL").groupBy("src", "dst").agg(F.min("weight").cast("double").alias("weight")))
+    best = durable(spark.range(1).select(F.lit(source).cast("long").alias("node"), F.lit(0.0).alias("distance"), F.array(F.lit(source).cast("long")).alias("path")))
+    edge, rounds = best, 0
+    nodes = nodes_of(e).count()
+    while max_hops is None or rounds < max_hops:
+        rounds += 1
+        step = edge.join(e, edge["node"] == e["src"]).select(F.col("dst").alias("node"), (F.col("distance") + F.col("weight")).alias("distance"), F.array_append("path", F.col("dst")).alias("path"))
+        least = durable(best.unionByName(step).groupBy("node").agg(F.min(F.struct("distance", "path")).alias("s")).select("node", "s.*"))
+        edge = durable(least.join(best.select("node", F.col("distance").alias("_d"), F.col("path").alias("_p")), "node", "left").where("_d IS NULL OR distance < _d OR path < _p").drop("_d", "_p"))
         best = least
         if edge.isEmpty():
-            return best
-    raise RuntimeError("paths did not settle")
+            break
+        if rounds > nodes:
+            raise ValueError("a cycle of negative weight")
+    out = best.select("node", "distance", F.get("path", F.size("path") - 2).alias("previous"), "path")
+    return out if target is None else out.where(F.col("node") == target)
+
+
+def path_rows(path: DataFrame) -> DataFrame:
+    """The ``path`` of each row as rows ``(step, node)`` from 0."""
+    return path.select(F.posexplode("path").alias("step", "node"))
+
+
+def all_shortest(edges: DataFrame, source: int, target: int, direction: str = "out") -> DataFrame:
+    """``(path, hops)``: every path of fewest edges. Where there are many, the rows are many: it is what is asked for."""
+    e = durable(directed(edges, direction).where("src <> dst"))
+    at = e.sparkSession.range(1).select(F.lit(source).cast("long").alias("node"), F.array(F.lit(source).cast("long")).alias("path"))
+    if source == target:
+        return at.select("path", F.lit(0).alias("hops"))
+    near = neighborhood(e, at.select("node"), 1_000_000)
+    back = neighborhood(e, e.sparkSession.range(1).select(F.lit(target).cast("long").alias("node")), 1_000_000, "in")
+    hit = near.where(F.col("node") == target).first()
+    if hit is None:
+        return at.select("path", F.lit(0).alias("hops")).limit(0)
+    # only nodes on some shortest path: hops from the source and to the target add up
+    on = durable(near.join(back.withColumnRenamed("depth", "left"), "node").where(F.col("depth") + F.col("left") == hit["depth"]).select("node", "depth"))
+    a, b = on.select(F.col("node").alias("src"), F.col("depth").alias("i")), on.select(F.col("node").alias("dst"), F.col("depth").alias("j"))
+    steps = durable(e.join(a, "src").join(b, "dst").where("j = i + 1").select("src", "dst"))
+    for _ in range(hit["depth"]):
+        at = at.join(steps, at["node"] == steps["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+    return at.select("path", F.lit(hit["depth"]).alias("hops"))
 
 
 def hop_distances(edges: DataFrame) -> DataFrame:
@@ -125,9 +187,17 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rou
         ranks = new.select("node", "dangling", "restart", F.col("new").alias("score"))
         if change < tolerance:
             break
+    else:
+        _settled(tolerance, rounds)
     return ranks.select("node", "score")
 
 
+def _settled(tolerance: float, rounds: int) -> None:
+    """A loop that ran out of rounds is an error, unless no tolerance was asked for."""
+    if tolerance > 0:
+        raise RuntimeError(f"scores did not settle to {tolerance} in {rounds} rounds")
+
+
 def _power(step, nodes: DataFrame, tolerance: float, rounds: int) -> DataFrame:
     """Repeat ``step`` on (node, score), scaled to length 1 each time."""
     n = max(1, nodes.count())
@@ -142,17 +212,19 @@ def _power(step, nodes: DataFrame, tolerance: float, rounds: int) -> DataFrame:
         v = durable(new)
         if change < tolerance:
             break
+    else:
+        _settled(tolerance, rounds)
     return v
 
 
-def eigenvector(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+def eigenvector(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 500) -> DataFrame:
     """Undirected; the shifted matrix (A + I) has the same leading vector and settles on bipartite graphs too."""
     e = durable(both_ways(edges))
     step = lambda v: e.join(v, e["dst"] == v["node"]).select(F.col("src").alias("node"), "score").unionByName(v.select("node", "score")).groupBy("node").agg(F.sum("score").alias("score"))
     return _power(step, nodes_of(edges), tolerance, rounds)
 
 
-def hits(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+def hits(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 500) -> DataFrame:
     """``(node, hub, authority)``, both of length 1."""
     e = durable(edges.select("src", "dst").distinct())
     along = lambda v: e.join(v, e["src"] == v["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("score").alias("score"))
@@ -165,10 +237,10 @@ def hits(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 100) -> DataFr
 
 def triangles(edges: DataFrame) -> DataFrame:
     """``(a, b, c)`` with a < b < c, each once; edges point from the lower degree to the higher so that hubs do not fan out."""
-    e = both_ways(edges)
+    e = durable(both_ways(edges))
     deg = e.groupBy("src").agg(F.count("*").alias("n"))
     d = e.join(deg, "src").join(deg.select(F.col("src").alias("dst"), F.col("n").alias("m")), "dst")
-    up = d.where(F.struct("n", "src") < F.struct("m", "dst")).select("src", "dst")
+    up = durable(d.where(F.struct("n", "src") < F.struct("m", "dst")).select("src", "dst"))
     x, y = up.select(F.col("src").alias("s"), F.col("dst").alias("x")), up.select(F.col("src").alias("s"), F.col("dst").alias("y"))
     wedge = x.join(y, "s").where("x < y")
     known = e.select(F.col("src").alias("x"), F.col("dst").alias("y"))
@@ -178,25 +250,37 @@ def triangles(edges: DataFrame) -> DataFrame:
 
 def clustering(edges: DataFrame) -> DataFrame:
     """Local coefficient: links among neighbours by pairs of neighbours, 0 below two neighbours."""
+    edges = durable(edges.select("src", "dst"))
     t = triangles(edges).select(F.explode(F.array("a", "b", "c")).alias("node")).groupBy("node").agg(F.count("*").alias("t"))
     k = both_ways(edges).groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k"))
     score = F.when(F.col("k") > 1, 2 * F.coalesce("t", F.lit(0)) / (F.col("k") * (F.col("k") - 1))).otherwise(0.0)
     return k.join(t, "node", "left").select("node", score.alias("score"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """``(node, community)``: all nodes at once take the commonest label around them, the least on ties."""
+def _turn(round_no: int, of: int = 2):
+    """Whether a node may move in this round: an even share of them, another each time, so that neighbours do not swap for ever."""
+    return F.pmod(F.xxhash64("node", F.lit(round_no // of)), F.lit(of)) == round_no % of
+
+
+def label_propagation(edges: DataFrame, rounds: int = 200) -> DataFrame:
+    """``(node, community)``: nodes take the commonest label around them, keep their own if it is one of the commonest, else the least.
+
+    Half of the nodes move in a round, the other half in the next. It ends when no node would move; not to end is an error.
+    """
     e = durable(both_ways(edges))
     labels = durable(nodes_of(edges).withColumn("label", F.col("node")))
-    for _ in range(rounds):
+    quiet = 0
+    for r in range(rounds):
         votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("new"))
-        new = durable(labels.join(best, labels["node"] == best["src"], "left").select("node", "label", F.coalesce("new", "label").alias("new")))
-        moved = new.where("new <> label").isEmpty()
+        votes = votes.join(labels.select(F.col("node").alias("src"), F.col("label").alias("own")), "src")
+        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label") != F.col("own"), "label")).alias("new"))
+        new = labels.join(best, labels["node"] == best["src"], "left").select("node", "label", F.when(_turn(r), F.coalesce("new", "label")).otherwise(F.col("label")).alias("new"))
+        new = durable(new)
+        quiet = quiet + 1 if new.where("new <> label").isEmpty() else 0
         labels = new.select("node", F.col("new").alias("label"))
-        if moved:
-            break
-    return labels.select("node", F.col("label").alias("community"))
+        if quiet == 2:
+            return labels.select("node", F.col("label").alias("community"))
+    raise RuntimeError(f"labels did not settle in {rounds} rounds")
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
@@ -209,18 +293,19 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return by.agg((F.sum("inside") / m2 - F.sum(F.col("n") * F.col("n")) / (m2 * m2)).alias("q"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 10, levels: int = 10) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 40, levels: int = 20) -> DataFrame:
     """``(node, community)`` of high modularity, named by the least node in each; parallel edges add weight, direction does not count.
 
-    All nodes of a level choose at once, in turn towards smaller and towards larger communities so that no two swap; a round that
-    does not raise modularity is undone. Communities then become the nodes of the next level.
+    Half of a level's nodes, chosen anew by a hash, move in a round to the community beside them that gains most; two rounds without
+    a move, or ``rounds``, end the level, and communities become the nodes of the next until none of them joins another.
     """
     ends = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
     pairs = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = durable(pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
+    m2 = e.agg(F.sum("w")).first()[0]
     own = durable(e.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
-    for _ in range(levels):
-        moved = _settle(e, resolution, rounds)
+    for level in range(levels):
+        moved = _settle(e, m2, resolution, rounds, level) if m2 else None
         if moved is None:
             break
         own = durable(own.join(moved.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
@@ -235,35 +320,31 @@ def _between(e: DataFrame, at: DataFrame) -> DataFrame:
     return e.join(a, "src").join(b, "dst").select("a", "b", "w")
 
 
-def _settle(e: DataFrame, resolution: float, rounds: int) -> DataFrame | None:
-    """``(node, community)`` after one level of moves, or None if no move raises modularity."""
-    at = durable(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")))
-    m2 = at.agg(F.sum("k")).first()[0]
-    if not m2:
-        return None
+def _quality(e: DataFrame, at: DataFrame, m2: float, resolution: float) -> float:
+    by = _between(e, at).groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
+    return by.agg(F.sum("inside") / m2 - resolution * F.sum(F.col("k") * F.col("k")) / (m2 * m2)).first()[0]
 
-    def quality(d: DataFrame) -> float:
-        by = _between(e, d).groupBy("a").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")).otherwise(0.0)).alias("inside"))
-        return by.agg(F.sum("inside") / m2 - resolution * F.sum(F.col("k") * F.col("k")) / (m2 * m2)).first()[0]
 
-    best, failed, rose = quality(at), 0, False
+def _settle(e: DataFrame, m2: float, resolution: float, rounds: int, level: int) -> DataFrame | None:
+    """``(node, community)`` after one level of moves, or None if they do not raise modularity."""
+    at = start = durable(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")))
+    beside = e.where("src <> dst")
+    quiet = 0
     for r in range(rounds):
-        near = e.where("src <> dst").join(at.select(F.col("node").alias("dst"), "community"), "dst").select(F.col("src").alias("node"), "community", "w")
+        near = beside.join(at.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
+        totals = at.groupBy("community").agg(F.sum("k").alias("total"))
         options = near.unionByName(at.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        options = options.join(at.groupBy("community").agg(F.sum("k").alias("total")), "community")
-        options = options.join(at.select("node", "k", F.col("community").alias("now")), "node")
+        options = options.join(totals, "community").join(at.select("node", "k", F.col("community").alias("now")), "node")
         stays = F.col("community") == F.col("now")
         gain = F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
-        way = F.col("community") <= F.col("now") if r % 2 == 0 else F.col("community") >= F.col("now")
         pick = F.max_by("community", F.struct(F.round(gain, 9), stays, -F.col("community")))
-        new = durable(options.where(way).groupBy("node").agg(F.first("k").alias("k"), pick.alias("community")))
-        q = quality(new)
-        if q > best + 1e-9:
-            at, best, failed, rose = new, q, 0, True
-        else:
-            failed += 1
-            if rose or failed == 2:
-                break
+        best = options.groupBy("node").agg(F.first("k").alias("k"), F.first("now").alias("now"), pick.alias("to"))
+        new = durable(best.select("node", "k", "now", F.when(_turn(r + 1000 * level), F.col("to")).otherwise(F.col("now")).alias("community")))
+        quiet = quiet + 1 if new.where("community <> now").isEmpty() else 0
+        at = new.drop("now")
+        if quiet == 2:
+            break
+    rose = _quality(e, at, m2, resolution) > _quality(e, start, m2, resolution) + 1e-9
     return at.select("node", "community") if rose else None
 
 
@@ -303,7 +384,7 @@ def expand(edges: DataFrame, rows: DataFrame, key: str, depth: int) -> DataFrame
 
 
 def walk(edges: DataFrame, seeds: DataFrame, steps: list[str]) -> DataFrame:
-    """``(node, n)``: how many walkers stand on each node after ``steps`` of out, in, both or dedup.
+    """``(node, n)``: how many walkers stand on each node after ``steps`` of out, in, both, dedup or ``limit k`` (the k least nodes).
 
     Walkers on one node are one row with a count, so a step costs a row per edge and not per walk.
     """
@@ -314,6 +395,8 @@ def walk(edges: DataFrame, seeds: DataFrame, steps: list[str]) -> DataFrame:
     for s in steps:
         if s == "dedup":
             at = at.withColumn("n", F.lit(1).cast("long"))
+        elif s.startswith("limit "):
+            at = at.orderBy("node").limit(int(s.split()[1]))
         else:
             e = ways[s]
             at = at.join(e, at["node"] == e["src"]).groupBy(F.col("dst").alias("node")).agg(F.sum("n").alias("n"))
@@ -342,19 +425,20 @@ def match_triples(triples: DataFrame, patterns: list[tuple[str, str, str]], opti
     return reduce(join("left"), map(one, optional), reduce(join("inner"), map(one, patterns)))
 
 
-def topological_levels(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """``(node, level)``: nodes whose predecessors are all in lower levels; an error on a cycle."""
-    left, rest, out, level = durable(edges.select("src", "dst").distinct()), durable(nodes_of(edges)), None, 0
-    while not rest.isEmpty() and level < max_rounds:
+    left, rest, parts, level = durable(edges.select("src", "dst").distinct()), durable(nodes_of(edges)), [], 0
+    while not rest.isEmpty():
         free = durable(rest.join(left.select(F.col("dst").alias("node")), "node", "left_anti"))
         if free.isEmpty():
             raise ValueError("the graph has a cycle")
-        row = free.withColumn("level", F.lit(level))
-        out = row if out is None else out.unionByName(row)
+        parts.append(free.withColumn("level", F.lit(level)))
+        if len(parts) == 50:  # plans stay small
+            parts = [durable(reduce(DataFrame.unionByName, parts))]
         rest = durable(rest.join(free, "node", "left_anti"))
         left = durable(left.join(free.withColumnRenamed("node", "src"), "src", "left_anti"))
         level += 1
-    return out if out is not None else rest.withColumn("level", F.lit(0))
+    return reduce(DataFrame.unionByName, parts) if parts else rest.withColumn("level", F.lit(0))
 
 
 def cycles(edges: DataFrame, length: int) -> DataFrame:
@@ -367,42 +451,140 @@ def cycles(edges: DataFrame, length: int) -> DataFrame:
     return paths.join(e, (paths["end"] == e["src"]) & (paths["start"] == e["dst"]), "left_semi").select("path")
 
 
-def strong_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """``(node, component)``: colours spread forward from the largest node; what reaches its colour's root backward is one."""
-    left, rest, done = durable(edges.select("src", "dst").distinct()), durable(nodes_of(edges)), None
-    for _ in range(max_rounds):
-        if rest.isEmpty():
+def on_cycles(edges: DataFrame, steps: int = 4) -> DataFrame:
+    """The edges ``(src, dst)`` left when nodes that none lead to, or that lead to none, are taken away until there are none: those between cycles, and on them.
+
+    A round takes ``steps`` layers at both ends, so a chain of n nodes is gone after n / (2 * steps) rounds.
+    """
+    left = durable(edges.where("src <> dst").select("src", "dst").distinct())
+    n = left.count()
+    while n:
+        e = left
+        for _ in range(steps):
+            e = e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            e = e.join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        left, before = durable(e), n
+        n = left.count()
+        if n == before:
             break
-        colour = _spread(left, durable(rest.select("node", F.col("node").alias("label"))))
-        inside = left.join(colour.withColumnsRenamed({"node": "src", "label": "a"}), "src").join(colour.withColumnsRenamed({"node": "dst", "label": "b"}), "dst").where("a = b")
-        back = durable(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        hit = neighborhood(back, colour.where("node = label").select("node"), 1_000_000).select("node")
-        found = durable(colour.join(hit, "node", "left_semi").select("node", F.col("label").alias("component")))
-        done = found if done is None else durable(done.unionByName(found))
-        rest = durable(rest.join(found, "node", "left_anti"))
-        left = durable(left.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    return done if done is not None else rest.select("node", F.col("node").alias("component"))
-
-
-def _spread(edges: DataFrame, labels: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    return left
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``(node, component)``: nodes that reach each other, named by the largest of them. Every node has a row.
+
+    What is on no cycle is taken away first. Then colours spread forward from the largest node; what reaches its colour's root backward is
+    one component. Every round settles each colour's root, and the loop ends when no edge is left.
+    """
+    nodes = durable(nodes_of(edges.where("src IS NOT NULL AND dst IS NOT NULL")))
+    left, found = on_cycles(edges), []
+    while not left.isEmpty():
+        colour = _spread(left, durable(nodes_of(left).select("node", F.col("node").alias("label"))))
+        inside = durable(_within(left, colour))
+        hit = neighborhood(inside, colour.where("node = label").select("node"), 1_000_000, "in").select("node")
+        one = durable(colour.join(hit, "node", "left_semi").select("node", F.col("label").alias("component")))
+        found = [durable(reduce(DataFrame.unionByName, [*found, one]))]
+        # an edge that leaves its colour, or a settled component, lies on no cycle
+        rest = inside.join(one.select(F.col("node").alias("src")), "src", "left_anti").join(one.select(F.col("node").alias("dst")), "dst", "left_anti")
+        left = on_cycles(rest)
+    if not found:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(found[0], "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _within(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges whose ends have one label."""
+    a, b = labels.withColumnsRenamed({"node": "src", "label": "a"}), labels.withColumnsRenamed({"node": "dst", "label": "b"})
+    return edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
+
+
+def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Largest label that reaches each node along the edges."""
-    for _ in range(max_rounds):
+    while True:
         got = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.max("label").alias("got"))
         new = durable(labels.join(got, labels["node"] == got["dst"], "left").select("node", "label", F.greatest("label", "got").alias("new")))
         settled = new.where("new > label").isEmpty()
         labels = new.select("node", F.col("new").alias("label"))
         if settled:
-            break
-    return labels
+            return labels
 
 
 def properties(edges: DataFrame) -> DataFrame:
-    """Nodes, different edges, loops, density and mutual pairs."""
-    e = edges.select("src", "dst").distinct()
-    n = nodes_of(edges).agg(F.count("*").alias("nodes"))
-    m = e.agg(F.count("*").alias("edges"), F.count_if(F.col("src") == F.col("dst")).alias("loops"))
-    mutual = e.where("src < dst").join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi").agg(F.count("*").alias("mutual"))
-    return n.crossJoin(m).crossJoin(mutual).withColumn("density", F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)))
+    """One row of a graph's figures. Degrees, components, completeness and trees are of the graph without directions and loops."""
+    e = durable(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    both = durable(both_ways(e))
+    row = lambda df, **of: df.agg(*[c.alias(k) for k, c in of.items()])
+    n = row(nodes_of(e), nodes=F.count("*"))
+    m = row(e, edges=F.count("*"), loops=F.count_if(F.col("src") == F.col("dst")))
+    mutual = row(e.where("src < dst").join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"), mutual=F.count("*"))
+    of_node = nodes_of(e).join(both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("k")), "node", "left").fillna(0, ["k"])
+    degrees = row(of_node, links=F.coalesce(F.sum("k"), F.lit(0)) / 2, min_degree=F.min("k"), max_degree=F.max("k"), isolated=F.count_if(F.col("k") == 0))
+    ends = degree_centrality(e)
+    flow = row(ends, sources=F.count_if(F.col("in_degree") == 0), sinks=F.count_if(F.col("out_degree") == 0))
+    weak = connected_components(e)
+    parts = row(nodes_of(e).join(weak, "node", "left"), components=F.count_distinct(F.coalesce("component", "node")))
+    strong = row(strong_components(e), strong_components=F.count_distinct("component"))
+    t = row(triangles(e), triangles=F.count("*"))
+    cyclic = row(on_cycles(e), on_cycles=F.count("*"))
+    out = reduce(DataFrame.crossJoin, [n, m, mutual, degrees, flow, parts, strong, t, cyclic])  # each one row
+    c = F.col
+    return out.withColumns(
+        {
+            "links": c("links").cast("long"),
+            "density": F.when(c("nodes") > 1, c("edges") / (c("nodes") * (c("nodes") - 1))),
+            "avg_degree": 2 * c("links") / c("nodes"),
+            "reciprocity": F.when(c("edges") > c("loops"), 2 * c("mutual") / (c("edges") - c("loops"))),
+            "is_connected": c("components") <= 1,
+            "is_strongly_connected": c("strong_components") <= 1,
+            "is_complete": 2 * c("links") == c("nodes") * (c("nodes") - 1),
+            "is_cyclic": (c("on_cycles") > 0) | (c("loops") > 0),
+            "is_tree": (c("components") == 1) & (c("links") == c("nodes") - 1) & (c("loops") == 0),
+            "is_forest": (c("links") == c("nodes") - c("components")) & (c("loops") == 0),
+            "is_regular": c("min_degree") == c("max_degree"),
+        }
+    ).drop("on_cycles")
+
+
+def global_clustering(edges: DataFrame) -> DataFrame:
+    """One row: the mean of the local coefficients of the nodes with a neighbour."""
+    return clustering(edges).agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("coefficient"))
+
+
+def match(nodes: DataFrame, edges: DataFrame, chain: list[dict]) -> DataFrame:
+    """A pattern ``(a:Label)-[:KIND]->(b:Label)...`` over ``nodes`` (id, label, ...) and ``edges`` (src, dst, kind, ...).
+
+    ``chain`` alternates nodes ``{"as", "label", "where"}`` and edges ``{"as", "kind", "way", "where"}``; all keys but ``as`` may be missing,
+    ``way`` is ``out`` (as drawn), ``in`` or ``both``. A condition speaks of the columns of its own node or edge. The result has a
+    struct column per name. A name met again must be the same node.
+    """
+    out, last = None, None
+    for i, part in enumerate(chain):
+        name, where = part["as"], part.get("where", "true")
+        if i % 2 == 0:
+            n = nodes.where(where)
+            n = n.where(F.col("label") == part["label"]) if "label" in part else n
+            one = n.select(F.struct(*n.columns).alias(name))
+            if out is None:
+                out = one
+            elif name in out.columns:
+                out = out.where(F.col(f"{name}.id") == F.col("_to")).drop("_to")
+            else:
+                out = out.join(one, F.col("_to") == F.col(f"{name}.id")).drop("_to")
+            last = name
+        else:
+            e = edges.where(where)
+            e = e.where(F.col("kind") == part["kind"]) if "kind" in part else e
+            whole = F.struct(*e.columns).alias(name)
+            way = part.get("way", "out")
+            ends = [("src", "dst")] * (way != "in") + [("dst", "src")] * (way != "out")
+            both = reduce(DataFrame.unionByName, [e.select(whole, F.col(a).alias("_from"), F.col(b).alias("_to")) for a, b in ends])
+            out = out.join(both, F.col(f"{last}.id") == F.col("_from")).drop("_from")
+    return out
+
+
+def has(at: DataFrame, nodes: DataFrame, condition: str) -> DataFrame:
+    """Walkers (node, n) that stand on a node for which ``condition`` on ``nodes`` (id, ...) holds."""
+    return at.join(nodes.where(condition).select(F.col("id").alias("node")), "node", "left_semi")
 
 
 def window_top(scores: DataFrame, k: int = 100) -> DataFrame:

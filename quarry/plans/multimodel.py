@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import graph, search, versions
-from quarry.plans.graphs import _EDGES, trade
+from quarry.plans.graphs import _EDGES, together, trade
 from quarry.plans.searches import _BM, _COS, _LEN, _Q, _SC, _WORDS, _bm, _long, _queries
 from quarry.plans.sqlviews import adder
 from quarry.registry import Registry
@@ -57,7 +57,7 @@ R.add("graph_simple_paths", f"WITH RECURSIVE {_PATHS} SELECT node, hops, path, c
 R.add("graph_k_shortest", f"WITH RECURSIVE {_PATHS} SELECT node, path, cost, CAST(row_number() OVER (PARTITION BY node ORDER BY cost, hops, path) AS INTEGER) AS rank FROM t WHERE hops > 0 QUALIFY rank <= 3")(
     lambda spark, sf: graph.k_shortest(_weighted(spark, sf), _first(spark, sf), 3, 3).select("node", "path", "cost", "rank")
 )
-R.add("graph_louvain")(lambda spark, sf: graph.louvain(trade(spark, sf)))
+R.add("graph_louvain")(lambda spark, sf: graph.louvain(together(spark, sf)))
 R.add(
     "graph_walk",
     f"WITH {_EDGES}, a AS (SELECT y.dst AS node, COUNT(*) AS n FROM e x JOIN e y ON x.dst = y.src GROUP BY 1) SELECT z.src AS node, CAST(SUM(a.n) AS BIGINT) AS n FROM a JOIN e z ON z.dst = a.node GROUP BY 1",
@@ -85,8 +85,8 @@ R.add(
 )
 
 # searches
-R.add("vector_quantised", f"WITH {_Q}, d AS (SELECT query_id, vec_id, {_COS} AS distance FROM embeddings e, q WHERE vec_id <> query_id) SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10")(
-    lambda spark, sf: search.quantised_search(table(spark, sf, "embeddings").select("vec_id", "embedding"), _queries(spark, sf), 10).select("query_id", "vec_id", "rank")
+R.add("vector_quantised", f"WITH {_Q}, d AS (SELECT query_id, vec_id, ROUND({_COS}, 12) AS distance FROM embeddings e, q WHERE vec_id <> query_id) SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank FROM d QUALIFY rank <= 10")(
+    lambda spark, sf: search.quantised_search(table(spark, sf, "embeddings").select("vec_id", "embedding"), _queries(spark, sf), 10, over=4).select("query_id", "vec_id", "rank")
 )
 _MERGED = f"WITH {_BM}, q AS (SELECT doc_id, quality FROM labels WHERE quality = 1), s AS (SELECT doc_id, score / (1 + score) AS s FROM bm)"
 R.add("hybrid_intersection", f"{_MERGED} SELECT doc_id, ROUND((s + 1) / 2, 8) AS score FROM s JOIN q USING (doc_id)")(
@@ -112,8 +112,8 @@ sql(
        UNION ALL SELECT 'part', CAST(p_partkey AS STRING) FROM part WHERE contains(lower(p_name), '00012')
        UNION ALL SELECT 'documents', CAST(doc_id AS STRING) FROM documents WHERE contains(lower(text), '00012')""",
 )
-R.add("text_tfidf", f"WITH {_WORDS}, c AS (SELECT doc_id, t AS term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) GROUP BY 1, 2), f AS (SELECT term, COUNT(*) AS df FROM c GROUP BY 1) SELECT doc_id, term, ROUND(tf * (ln(((SELECT COUNT(*) FROM documents) + 1.0) / (df + 1.0)) + 1), 8) AS weight FROM c JOIN f USING (term) WHERE df BETWEEN 3 AND 20")(
-    lambda spark, sf: search.tfidf(table(spark, sf, "documents"), "doc_id", "text").where("df BETWEEN 3 AND 20").select("doc_id", "term", F.round("weight", 8).alias("weight"))
+R.add("text_tfidf", f"WITH {_WORDS}, c AS (SELECT doc_id, t AS term, COUNT(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) GROUP BY 1, 2), f AS (SELECT term, COUNT(*) AS df FROM c GROUP BY 1) SELECT doc_id, term, ROUND(tf * (ln(((SELECT COUNT(*) FROM documents) + 1.0) / (df + 1.0)) + 1), 8) AS weight FROM c JOIN f USING (term)")(
+    lambda spark, sf: search.tfidf(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "term", F.round("weight", 8).alias("weight"))
 )
 
 # updates, keys and values, streams
@@ -159,3 +159,78 @@ sql(
     "SELECT event_id, to_json(map_concat(map_filter(from_json(props, 'map<string,bigint>'), (k, v) -> k <> 'v'), map('v', event_id))) AS j FROM events",
     "SELECT event_id, CAST(json_merge_patch(props, json_object('v', event_id)) AS VARCHAR) AS j FROM events",
 )
+
+
+# a graph of things: customers, orders, parts and suppliers with what joins them
+def things(spark, sf):
+    """Nodes ``(id, label, key, amount)``; ids are a letter and the key."""
+    c = table(spark, sf, "customer").selectExpr("concat('c', c_custkey) AS id", "'customer' AS label", "c_custkey AS key", "c_acctbal AS amount")
+    o = table(spark, sf, "orders").selectExpr("concat('o', o_orderkey)", "'order'", "o_orderkey", "o_totalprice")
+    p = table(spark, sf, "part").selectExpr("concat('p', p_partkey)", "'part'", "p_partkey", "p_retailprice")
+    s = table(spark, sf, "supplier").selectExpr("concat('s', s_suppkey)", "'supplier'", "s_suppkey", "s_acctbal")
+    return c.union(o).union(p).union(s)
+
+
+def relations(spark, sf):
+    """Edges ``(src, dst, kind, amount)``."""
+    placed = table(spark, sf, "orders").selectExpr("concat('c', o_custkey) AS src", "concat('o', o_orderkey) AS dst", "'placed' AS kind", "o_totalprice AS amount")
+    holds = table(spark, sf, "lineitem").selectExpr("concat('o', l_orderkey)", "concat('p', l_partkey)", "'holds'", "l_quantity")
+    from_ = table(spark, sf, "lineitem").selectExpr("concat('p', l_partkey)", "concat('s', l_suppkey)", "'from'", "l_quantity").distinct()
+    return placed.union(holds).union(from_)
+
+
+R.add(
+    "graph_match_chain",
+    """SELECT c_custkey, o_orderkey, p_partkey, l_quantity AS quantity FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey
+       WHERE c_acctbal > 8000 AND l_quantity > 40 AND p_retailprice < 1200""",
+)(
+    lambda spark, sf: graph.match(
+        things(spark, sf),
+        relations(spark, sf),
+        [{"as": "c", "label": "customer", "where": "amount > 8000"}, {"as": "x", "kind": "placed"}, {"as": "o", "label": "order"}, {"as": "y", "kind": "holds", "where": "amount > 40"}, {"as": "p", "label": "part", "where": "amount < 1200"}],
+    ).select(F.col("c.key").alias("c_custkey"), F.col("o.key").alias("o_orderkey"), F.col("p.key").alias("p_partkey"), F.col("y.amount").alias("quantity"))
+)
+R.add(
+    "graph_match_back",
+    "SELECT p_partkey, COUNT(*) AS n FROM part JOIN lineitem ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 300000 GROUP BY 1",
+)(
+    lambda spark, sf: graph.match(
+        things(spark, sf), relations(spark, sf), [{"as": "p", "label": "part"}, {"as": "e", "kind": "holds", "way": "in"}, {"as": "o", "label": "order", "where": "amount > 300000"}]
+    )
+    .groupBy(F.col("p.key").alias("p_partkey"))
+    .agg(F.count("*").alias("n"))
+)
+R.add("join_match", "SELECT s_suppkey, COUNT(*) AS n FROM supplier JOIN (SELECT DISTINCT l_partkey, l_suppkey, l_quantity FROM lineitem) ON s_suppkey = l_suppkey JOIN part ON l_partkey = p_partkey WHERE p_retailprice > 910 GROUP BY 1")(
+    lambda spark, sf: table(spark, sf, "supplier")
+    .join(
+        graph.match(things(spark, sf), relations(spark, sf), [{"as": "p", "label": "part", "where": "amount > 910"}, {"as": "e", "kind": "from"}, {"as": "s", "label": "supplier"}]).select(
+            F.explode(F.array("p.id", "s.id")).alias("node")  # rows join a match by any of its nodes
+        ),
+        F.concat(F.lit("s"), "s_suppkey") == F.col("node"),
+    )
+    .groupBy("s_suppkey")
+    .agg(F.count("*").alias("n"))
+)
+R.add(
+    "graph_walk_has",
+    "SELECT 'o' || o_orderkey AS node, COUNT(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 9000 AND o_totalprice BETWEEN 100000 AND 200000 GROUP BY 1",
+)(
+    lambda spark, sf: graph.has(
+        graph.walk(relations(spark, sf).where("kind = 'placed'"), things(spark, sf).where("label = 'customer' AND amount > 9000").selectExpr("id AS node"), ["out"]),
+        things(spark, sf),
+        "label = 'order' AND amount BETWEEN 100000 AND 200000",
+    )
+)
+R.add("graph_walk_limit", f"WITH {_EDGES}, a AS (SELECT DISTINCT dst AS node FROM e ORDER BY node LIMIT 4) SELECT dst AS node, COUNT(*) AS n FROM a JOIN e ON src = a.node GROUP BY 1")(
+    lambda spark, sf: graph.walk(trade(spark, sf), trade(spark, sf).select(F.col("src").alias("node")).distinct(), ["out", "dedup", "limit 4", "out"])
+)
+R.add(
+    "graph_triples_filter",
+    "SELECT 'c' || c_custkey AS c, CASE WHEN c_acctbal > 8000 THEN 'rich' END AS what FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 1 AND (c_mktsegment LIKE 'B%' OR c_acctbal > 8000) ORDER BY c LIMIT 40",
+)(
+    lambda spark, sf: graph.match_triples(_triples(spark, sf), [("?c", "segment", "?s"), ("?c", "in", "?n"), ("?n", "in", "r1")], [("?c", "is", "?what")])
+    .where("s LIKE 'B%' OR what IS NOT NULL")  # FILTER with BOUND, then LIMIT after OPTIONAL
+    .orderBy("c")
+    .limit(40)
+    .select("c", "what")
+)

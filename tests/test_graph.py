@@ -90,3 +90,74 @@ def test_match_triples(spark):
     got = graph.match_triples(t, [("?x", "knows", "?y")], [("?y", "age", "?n")]).collect()
     assert {(r.x, r.y, r.n) for r in got} == {("a", "b", "7"), ("b", "a", None), ("c", "c", None)}
     assert [r.x for r in graph.match_triples(t, [("?x", "knows", "?x")]).collect()] == ["c"]
+
+
+def test_long_chains_and_knots(spark):
+    chain = [(i + 1, i) for i in range(90)] + [(500, 501), (501, 502), (502, 500), (502, 90), (0, 600), (600, 601), (601, 600), (7, 7)]
+    got = {}
+    for r in graph.strong_components(frame(spark, chain)).collect():
+        got.setdefault(r.component, set()).add(r.node)
+    assert sum(map(len, got.values())) == 96 and sorted(map(sorted, (v for v in got.values() if len(v) > 1))) == [[500, 501, 502], [600, 601]]
+    assert graph.strong_components(frame(spark, [])).count() == 0
+    levels = {r.node: r.level for r in graph.topological_levels(frame(spark, [(i, i + 1) for i in range(12)])).collect()}
+    assert levels == {i: i for i in range(13)}
+
+
+def test_strong_components_against_brute_force(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(45)]
+    nodes = {x for e in edges for x in e}
+    reach = {n: {n} for n in nodes}
+    for _ in nodes:
+        for a, b in edges:
+            for n in nodes:
+                if a in reach[n]:
+                    reach[n].add(b)
+    got = {r.node: r.component for r in graph.strong_components(frame(spark, edges)).collect()}
+    assert got == {n: max(m for m in nodes if m in reach[n] and n in reach[m]) for n in nodes}
+
+
+def test_loops_that_do_not_settle_are_errors(spark):
+    e = frame(spark, [(1, 2), (2, 3), (3, 1), (1, 3), (4, 1)])
+    with pytest.raises(RuntimeError):
+        graph.pagerank(e, tolerance=1e-12, rounds=2)
+    with pytest.raises(RuntimeError):
+        graph.eigenvector(e, tolerance=1e-12, rounds=2)
+    with pytest.raises(ValueError):
+        graph.shortest_paths(spark.createDataFrame([(1, 2, -1.0), (2, 1, 0.5), (2, 3, 1.0)], "src long, dst long, weight double"), 1).collect()
+
+
+def test_traversals_and_paths(spark):
+    e = frame(spark, [(1, 3), (1, 2), (3, 5), (2, 4), (2, 5), (5, 1), (4, 6), (5, 6), (None, 1)])
+    assert [(r.node, r.depth) for r in graph.traverse(e, 1, 2).collect()] == [(1, 0), (2, 1), (3, 1), (4, 2), (5, 2)]
+    assert [r.node for r in graph.traverse(e, 6, 1, "in").collect()] == [6, 4, 5]
+    assert sorted(tuple(r.path) for r in graph.all_shortest(e, 1, 6).collect()) == [(1, 2, 4, 6), (1, 2, 5, 6), (1, 3, 5, 6)]
+    assert graph.all_shortest(e, 6, 1).count() == 0 and [tuple(r.path) for r in graph.all_shortest(e, 1, 1).collect()] == [(1,)]
+    w = spark.createDataFrame([(1, 2, 4.0), (1, 3, 1.0), (3, 2, -1.0), (2, 4, 1.0)], "src long, dst long, weight double")
+    assert [(r.step, r.node) for r in graph.path_rows(graph.shortest_paths(w, 1, 4)).orderBy("step").collect()] == [(0, 1), (1, 3), (2, 2), (3, 4)]
+    assert graph.shortest_paths(w, 1, 4, max_hops=2).first().distance == 5.0 and graph.shortest_paths(w, 4, 1).count() == 0
+    kinds = spark.createDataFrame([(1, 2, "a"), (2, 3, "b"), (4, 2, "a")], "src long, dst long, kind string")
+    seeds = spark.createDataFrame([(2,)], "node long")
+    near = lambda *a: {r.node: r.depth for r in graph.neighborhood(kinds, seeds, 2, *a).collect()}
+    assert near("both") == {2: 0, 1: 1, 3: 1, 4: 1} and near("in", ["a"]) == {2: 0, 1: 1, 4: 1} and near("out", ["a"]) == {2: 0}
+
+
+def test_properties_of_small_graphs(spark):
+    of = lambda edges: graph.properties(frame(spark, edges)).first()
+    tree = of([(1, 2), (1, 3)])
+    assert (tree.is_tree, tree.is_forest, tree.is_cyclic, tree.is_connected, tree.components, tree.strong_components) == (True, True, False, True, 1, 3)
+    ring = of([(1, 2), (2, 3), (3, 1), (3, 3)])
+    assert (ring.is_tree, ring.is_cyclic, ring.is_complete, ring.is_regular, ring.is_strongly_connected, ring.triangles, ring.loops) == (False, True, True, True, True, 1, 1)
+
+
+def test_match(spark):
+    nodes = spark.createDataFrame([("a", "P", 1), ("b", "P", 2), ("c", "Q", 3)], "id string, label string, x int")
+    edges = spark.createDataFrame([("a", "b", "K", 5), ("b", "c", "L", 6), ("c", "a", "L", 7), ("b", "b", "K", 8)], "src string, dst string, kind string, w int")
+    two = graph.match(nodes, edges, [{"as": "m", "label": "P"}, {"as": "e", "kind": "K"}, {"as": "n"}, {"as": "f", "where": "w > 5"}, {"as": "o", "label": "Q"}])
+    assert [(r.m.id, r.e.w, r.n.id, r.f.w, r.o.x) for r in two.orderBy("m.id").collect()] == [("a", 5, "b", 6, 3), ("b", 8, "b", 6, 3)]
+    again = graph.match(nodes, edges, [{"as": "m"}, {"as": "e", "kind": "K"}, {"as": "m"}])
+    assert [r.m.id for r in again.collect()] == ["b"]
+    both = graph.match(nodes, edges, [{"as": "m", "where": "id = 'c'"}, {"as": "e", "way": "both"}, {"as": "n"}])
+    assert sorted(r.n.id for r in both.collect()) == ["a", "b"]
+    at = spark.createDataFrame([("a", 2), ("c", 1)], "node string, n long")
+    assert [tuple(r) for r in graph.has(at, nodes, "x > 1").collect()] == [("c", 1)]
