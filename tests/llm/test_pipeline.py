@@ -2,8 +2,8 @@ import re
 
 import corpus_pipeline as P
 from tests.llm.test_lines import brute as brute_lines
+from tests.llm.test_nearcopies import brute as brute_near
 from tests.llm.test_packing import check as check_packing
-from tests.llm.test_simhash import components, plain
 
 
 def test_stages_against_brute_force(spark):
@@ -16,8 +16,9 @@ def test_stages_against_brute_force(spark):
     assert all(d.columns == docs.columns for d in out[:5])
     assert texts[1] == {k: t for k, t in texts[0].items() if any(c.isalpha() for c in t)}
     assert texts[2] == brute_lines(texts[1])
-    kept = components({k: [plain(t, 5, table) for table in range(4)] for k, t in texts[2].items()})
-    assert texts[3] == {k: t for k, t in texts[2].items() if kept[k] == k}
+    order = sorted(texts[2])
+    least = brute_near([texts[2][k] for k in order])
+    assert texts[3] == {k: texts[2][k] for i, k in enumerate(order) if least[i] == i}
     secret = r'(?i)(token = ")[0-9a-f]{40}(")|(password=)[0-9a-f]{18}()|()\bAKIA[A-Z0-9]{16}\b()'
     masked = lambda m: "".join(g or "" for g in m.groups()[::2]) + "[SECRET]" + "".join(g or "" for g in m.groups()[1::2])
     assert texts[4] == {k: re.sub(secret, masked, t) for k, t in texts[3].items()}
