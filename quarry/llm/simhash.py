@@ -171,7 +171,9 @@ def near_duplicates(docs: DataFrame, size: int = 3, tables: int = 1) -> DataFram
     are within three bits in any of these independent fingerprints are linked.
     """
     own = durable(fingerprints(docs, size, tables))
-    different = durable(own.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("node")))
+    # a fingerprint is its own node, so that rows of one doc_id and different texts stay apart
+    node = F.col("fps")[0] if tables == 1 else F.xxhash64("fps")
+    different = durable(own.where("doc_id IS NOT NULL").groupBy("fps").agg(F.min("doc_id").alias("least")).withColumn("node", node))
     each = different.select("node", F.posexplode("fps").alias("table", "fp"))
     if tables == 1:
         edges = links(each)
@@ -179,8 +181,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, tables: int = 1) -> DataFram
         first = durable(each.groupBy("table", "fp").agg(F.min("node").alias("node")))
         same = each.join(first.withColumnRenamed("node", "first"), ["table", "fp"]).where("node <> first")
         edges = links(first).unionByName(same.select(F.col("node").alias("src"), F.col("first").alias("dst")))
-    of_node = connected_components(edges)
-    of_fp = different.join(of_node, "node", "left").select("fps", F.coalesce("component", "node").alias("component_id"))
+    of_node = different.join(connected_components(edges), "node", "left").select("fps", "least", F.coalesce("component", "node").alias("c"))
+    of_fp = of_node.join(of_node.groupBy("c").agg(F.min("least").alias("component_id")), "c").select("fps", "component_id")
     found = own.join(of_fp, "fps", "left")
     return found.select("doc_id", F.col("fps")[0].alias("fp"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 

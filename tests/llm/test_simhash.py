@@ -95,3 +95,16 @@ def test_odd_rows(spark):
     got = sorted((r.doc_id or 0, r.component_id) for r in near_duplicates(docs).collect())
     assert got == [(0, None), (2, 2), (4, 2), (7, 7), (7, 7), (9, 7)]
     assert near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_texts_of_one_id_stay_apart(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    a, b = [" ".join(word() for _ in range(300)) for _ in range(2)]
+    near = [t + " " + t.split()[0] for t in (a, b)]
+    rows = [(5, a), (5, b), (2, near[0]), (3, near[1])]
+    assert all((plain(x) ^ plain(y)).bit_count() <= 3 for x, y in zip((a, b), near, strict=True)) and (plain(a) ^ plain(b)).bit_count() > 3
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    fp = {plain(t): i for t, i in ((a, 2), (near[0], 2), (b, 3), (near[1], 3))}
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 3), (5, 2), (5, 3)]
+    assert all(fp[r.fp % 2**64] == r.component_id for r in got)
