@@ -152,15 +152,17 @@ def near_duplicate_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame
     """``(vec_id, n_links, component_id, kept)`` per row of ``vectors`` (vec_id, embedding, label)."""
     rows = vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     some = usable(rows).where(F.col("label").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    classes = durable(some.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("mult")))
+    # a class is a node of its own, so that different vectors of one vec_id stay apart
+    classes = durable(some.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult")).withColumn("node", F.monotonically_increasing_id()))
     found = durable(class_links(classes, least))
     counted = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     of_node = connected_components(found.where("b IS NOT NULL").select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    known = (
+    of_class = (
         classes.join(counted, "node", "left")
         .join(of_node, "node", "left")
-        .select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("c"))
+        .select("label", "embedding", "least", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
+    known = of_class.join(of_class.groupBy("component").agg(F.min("least").alias("c")), "component").select("label", "embedding", "n_links", "c")
     linked = some.join(known, ["label", "embedding"]).select("vec_id", "n_links", F.col("c").alias("component_id"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("embedding", lambda x: x != 0)
     none = F.coalesce(F.col("vec_id").isNull() | F.col("embedding").isNull() | F.col("label").isNull() | bad, F.lit(True))

@@ -47,6 +47,8 @@ def test_small(spark):
     nan = float("nan")
     rows += [(n, None, 1), (n + 1, [], 1), (n + 2, [0.0, 0.0], 1), (n + 3, [nan, 1.0], 1), (n + 4, [1.0, None], 1), (n + 5, [1.0, 2.0], None), (n + 6, [float("inf"), 1.0], 1)]
     rows += [(None, [1.0, 2.0], 1)]
+    # one vec_id, different vectors, each with near ones of its own; and equal rows
+    rows += [(1000, [1.0, 0.0], 5), (1000, [0.0, 1.0], 5), (1001, [1.0, 0.01], 5), (1002, [0.01, 1.0], 5), (1003, [0.0, 1.02], 5), (1003, [0.0, 1.02], 5)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, n int")
     got = sorted((tuple(r) for r in near_duplicate_vectors(df).collect()), key=str)
     assert got == brute(rows)
