@@ -8,8 +8,9 @@ k best of each block are merged per query. Scores are integers, ties go to the s
 
 Components are floor(scale * x) of the component as a double. Vectors that are null or hold null or non-finite
 components take no part; a shorter vector counts as if filled up with zeros. Null ids take no part.
-A repeated id is a row of its own, but never an answer to a query of the same id. Fewer candidates than
-k: all of them. No rows or no queries: no rows. Other columns are ignored.
+A repeated id is a row of its own, but never an answer to a query of the same id; queries of one id and different vectors
+have k answers each, equal queries are one. Fewer candidates than k: all of them. No rows or no queries: no rows.
+A score that 64 bits might not hold is an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,10 @@ class Lists:
 
     def exact(self, q: np.ndarray) -> bool:
         """Whether every partial sum is an integer that a double holds exactly."""
-        return self.largest * int(np.abs(q).sum()) < 1 << 53
+        most = self.largest * int(np.abs(q).sum())
+        if most >= 1 << 63:
+            raise OverflowError("scores of these vectors do not fit in 64 bits")
+        return most < 1 << 53
 
     def best(self, q: np.ndarray, own: int, k: int, step: int = 32) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best rows for ``q`` other than ``own``, best first."""
@@ -81,12 +85,15 @@ class Lists:
 def _matrix(vectors, scale: float, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), dtype=np.int64)
     for i, v in enumerate(vectors):
-        out[i, : len(v)] = np.floor(scale * np.asarray(v, dtype=np.float64))
+        x = np.floor(scale * np.asarray(v, dtype=np.float64))
+        if len(x) and np.abs(x).max() >= 2.0**62:
+            raise OverflowError("components of these vectors do not fit in 62 bits")
+        out[i, : len(v)] = x
     return out
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0, block: int = 8192, query_block: int = 1024) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k best of ``vectors`` for every row of ``queries``.
+    """``(query_id, rank, vec_id, score)``: the k best of ``vectors`` for every different row of ``queries``.
 
     Both have (vec_id, embedding). Blocks hold about ``block`` and ``query_block`` rows, dealt by a hash of
     the id and the vector, so the work of a task is bounded; the number of tasks grows with both sides.
@@ -96,24 +103,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
     blocks, asks = max(1, -(-n // block)), max(1, -(-m // query_block))
     deal = lambda df, parts: F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)).cast("int")
     left = base.withColumn("b", deal(base, blocks)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    ask = ask.distinct().withColumn("ask", F.xxhash64("vec_id", "embedding"))
     right = ask.withColumn("a", deal(ask, asks)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(rows, wanted):
         import pandas as pd
 
         if not len(rows) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"ask": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
         width = max(max(map(len, rows["embedding"])), max(map(len, wanted["embedding"])))
         lists = Lists(rows["vec_id"].to_numpy(np.int64), _matrix(rows["embedding"], scale, width))
-        out: tuple[list, list, list] = ([], [], [])
-        for own, q in zip(wanted["vec_id"].to_numpy(np.int64), _matrix(wanted["embedding"], scale, width), strict=True):
+        out: tuple[list, list, list, list] = ([], [], [], [])
+        for ask, own, q in zip(wanted["ask"].to_numpy(np.int64), wanted["vec_id"].to_numpy(np.int64), _matrix(wanted["embedding"], scale, width), strict=True):
             ids, scores = lists.best(q, own, k)
-            for c, v in zip(out, (np.full(len(ids), own), ids, scores), strict=True):
+            for c, v in zip(out, (np.full(len(ids), ask), np.full(len(ids), own), ids, scores), strict=True):
                 c.append(v)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, out), strict=True)))
+        return pd.DataFrame(dict(zip(("ask", "query_id", "vec_id", "score"), map(np.concatenate, out), strict=True)))
 
-    found = right.groupBy("a", "b").cogroup(left.groupBy("a", "b")).applyInPandas(lambda q, c: search(c, q), "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = right.groupBy("a", "b").cogroup(left.groupBy("a", "b")).applyInPandas(lambda q, c: search(c, q), "ask long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("ask", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -127,9 +135,9 @@ ORACLE = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
            FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+     s AS (SELECT q.vec_id AS query_id, q.e, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+           FROM (SELECT DISTINCT vec_id, e FROM v) q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+     r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, e ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
                   vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
