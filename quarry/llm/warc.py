@@ -2,8 +2,9 @@
 
 An archive (``.warc.zst``) starts with a skippable frame that holds its dictionary; each record after it is
 one frame, so any standard reader of concatenated frames that loads the dictionary can read it. The
-dictionary is trained on ``sample_bytes`` of the archive's own records, spread evenly over it (a bound on
-what is learned from, not on what is written); archives of fewer than eight records have none.
+dictionary is trained on ``sample_bytes`` of the archive's own records, in pieces spread evenly over it and over
+long records (a bound on what is learned from, not on what is written). Where there is too little to train on, as in an
+archive of one record, the pieces themselves are the dictionary (raw content): every archive has one.
 
 Each page is a response record, or, where a page of larger id has the same payload of at least
 ``least_bytes``, a revisit that refers to the largest such id. Null html is an empty payload. Rows
@@ -53,20 +54,25 @@ def record(page_id, url: str, payload: bytes, refers_to, date: str = "1970-01-01
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
+def _pieces(records: list[bytes], most: int, piece: int = 16 << 10) -> list[bytes]:
+    """About ``most`` bytes of records: the whole of short ones, pieces spread over long ones; of many, some spread evenly."""
+    every = max(1, -(-sum(map(len, records)) // most))
+    cut = [r[a : a + piece] for r in records for a in range(0, len(r), piece)]
+    return cut[::every]
+
+
 def write_archive(folder: str, name: str, records: list[bytes], level: int, dictionary_bytes: int, sample_bytes: int) -> None:
     import zstandard
 
-    trained = None
-    if len(records) >= 8:
-        step = max(1, -(-sum(map(len, records)) // sample_bytes))
-        try:
-            trained = zstandard.train_dictionary(dictionary_bytes, [r[: 128 << 10] for r in records[::step]], k=256, d=8)
-        except zstandard.ZstdError:
-            trained = None  # too little to learn from
+    pieces = _pieces(records, sample_bytes)
+    try:
+        trained = zstandard.train_dictionary(dictionary_bytes, pieces, k=256, d=8)
+    except zstandard.ZstdError:  # too little to train on
+        raw = b"".join(pieces)[:dictionary_bytes]
+        trained = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = trained.as_bytes()
     out = AtomicFile(folder, name)
-    if trained:
-        raw = trained.as_bytes()
-        out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
+    out.write(struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw)
     zstd = zstandard.ZstdCompressor(level=level, dict_data=trained)
     for r in records:
         out.write(zstd.compress(r))

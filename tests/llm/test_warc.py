@@ -40,3 +40,16 @@ def test_round_trip(spark):
     first = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size])).decompressobj().decompress(raw[8 + size :])
     assert first.startswith(b"WARC/1.1\r\n") and first.count(b"WARC/1.1") == 1
     assert read_archives(write_archives(pages.limit(0), folder), folder).count() == 0
+
+
+def test_few_records_have_a_dictionary_too(spark):
+    for n in (1, 2, 7):
+        rows = [(i, f"http://h/{i}", "<html>page %d</html>" % i) for i in range(n)]
+        folder = new_folder(spark, "warc")
+        manifest = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+        assert sorted((r.page_id, bytes(r.payload).decode()) for r in read_archives(manifest, folder, with_payload=True).collect()) == [(i, h) for i, _, h in rows]
+        raw = open_input(folder, manifest.first().file).read()
+        magic, size = struct.unpack("<II", raw[:8])
+        assert magic == DICTIONARY_MAGIC and size >= 100
+        first = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw[8 : 8 + size])).decompressobj().decompress(raw[8 + size :])
+        assert first.startswith(b"WARC/1.1\r\n")
