@@ -46,15 +46,16 @@ def repeated_stretches(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its repeated lines gone, and ``n_lines, n_removed``; columns of those names are replaced."""
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed", "_t", "_cut", "_l")]
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     cut = repeated_stretches(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("_t", "_h")
-    d = docs.select(*own).withColumn("_t", F.xxhash64("text"))
+    # the row as one column, so that no name of its columns meets a name here
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_t"))
     joined = d.join(cut, d["doc_id"].eqNullSafe(cut["_id"]) & (d["_t"] == cut["_h"]), "left").withColumn("_l", F.split("text", "\n"))
     keep = F.filter("_l", lambda x, i: ~F.exists("_cut", lambda s: (i >= s["a"]) & (i < s["b"])))
     removed = F.aggregate("_cut", F.lit(0), lambda n, s: n + s["b"] - s["a"])
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
     return joined.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in own],
+        *[(text if c == "text" else F.col("_row").getField(c)).alias(c) for c in own],
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_l")).alias("n_lines"),
         F.coalesce(removed, F.lit(0)).alias("n_removed"),
     )
@@ -69,16 +70,17 @@ def op4_line_dedup(spark, sf_dir) -> DataFrame:
 def oracle(source: str = "documents") -> str:
     """The same over lines instead of hashes, for a table of documents."""
     return f"""
-    WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM {source}),
-         w AS (SELECT doc_id, i, l[i + 1] AS a, l[i + 2] AS b, l[i + 3] AS c
-               FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) > 2)),
-         r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS k FROM w WHERE a || b || c <> ''),
-         g AS (SELECT DISTINCT doc_id, i + j AS i FROM r, range(3) AS t(j) WHERE k > 1),
-         n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-         s AS (SELECT doc_id, i, l[i + 1] AS line FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM d WHERE doc_id IN (SELECT doc_id FROM n))),
-         o AS (SELECT s.doc_id, string_agg(line, chr(10) ORDER BY s.i) AS text
-               FROM s LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i WHERE g.i IS NULL GROUP BY s.doc_id)
-    SELECT d.doc_id, CAST(coalesce(len(d.l), 0) AS INTEGER) AS n_lines, CAST(coalesce(n.n, 0) AS INTEGER) AS n_removed,
+    WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS l FROM (SELECT DISTINCT doc_id, text FROM {source})),
+         w AS (SELECT k, doc_id, i, l[i + 1] AS a, l[i + 2] AS b, l[i + 3] AS c
+               FROM (SELECT k, doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) > 2)),
+         r AS (SELECT k, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id NULLS FIRST, i) AS place FROM w WHERE a || b || c <> ''),
+         g AS (SELECT DISTINCT k, i + j AS i FROM r, range(3) AS t(j) WHERE place > 1),
+         n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+         s AS (SELECT k, i, l[i + 1] AS line FROM (SELECT k, l, unnest(range(0, len(l))) AS i FROM d WHERE k IN (SELECT k FROM n))),
+         o AS (SELECT s.k, string_agg(line, chr(10) ORDER BY s.i) AS text
+               FROM s LEFT JOIN g ON s.k = g.k AND s.i = g.i WHERE g.i IS NULL GROUP BY s.k)
+    SELECT x.doc_id, CAST(coalesce(len(d.l), 0) AS INTEGER) AS n_lines, CAST(coalesce(n.n, 0) AS INTEGER) AS n_removed,
            CASE WHEN n.n IS NULL THEN d.text ELSE coalesce(o.text, '') END AS text
-    FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN o ON d.doc_id = o.doc_id
+    FROM {source} x JOIN d ON x.doc_id IS NOT DISTINCT FROM d.doc_id AND x.text IS NOT DISTINCT FROM d.text
+    LEFT JOIN n ON d.k = n.k LEFT JOIN o ON d.k = o.k
     """

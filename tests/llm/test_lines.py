@@ -1,5 +1,7 @@
 import random
 
+import duckdb
+
 from quarry.llm.lines import drop_repeated_lines, op4_line_dedup, oracle
 from tests.llm.oracle import same
 
@@ -38,3 +40,19 @@ def test_odd_rows(spark):
     assert got[(5, 6)] == got[(5, 7)] and sorted([got[(5, 6)][1], got[(5, None)][1]]) == [0, 3]
     assert got[(4, 5)] == ("\n".join(f"line {i}" for i in range(700)), 4300)
     assert drop_repeated_lines(df.limit(0)).count() == 0
+
+
+def test_clashing_names_and_equal_rows(spark):
+    names = ["_t", "_cut", "_l", "_id", "_h", "_row", "h1", "first", "line", "a.b"]
+    rows = [(k, t, *[f"{n}{k}" for n in names]) for k, t in [(1, "a\nb\nc"), (2, "a\nb\nc\nd"), (3, "x"), (2, "a\nb\nc\nd"), (4, "e\ne\ne\ne")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = drop_repeated_lines(df)
+    assert got.columns == ["doc_id", "text", *names, "n_lines", "n_removed"]
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a\nb\nc"), (2, "d"), (2, "d"), (3, "x"), (4, "")]
+    assert all(r[2 + i] == f"{n}{r.doc_id}" for r in got.collect() for i, n in enumerate(names))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'a\nb\nc'), (2, 'a\nb\nc\nd'), (3, 'x'), (2, 'a\nb\nc\nd'), (4, 'e\ne\ne\ne'), (NULL, 'a\nb\nc'), (5, NULL)) v(doc_id, text)".replace("\n", "' || chr(10) || '"))
+    want = sorted(con.sql(oracle()).fetchall(), key=str)
+    rows = [(r[0], r[1]) for r in con.sql("SELECT * FROM documents").fetchall()]
+    have = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text")
+    assert sorted((tuple(r) for r in have.collect()), key=str) == want
