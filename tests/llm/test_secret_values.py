@@ -12,7 +12,10 @@ TEXTS = {
     6: "The secret: patience. The author: somebody-or-other",
     7: f"{B};{A}",
     8: f"twice {B},{B}",
+    9: f"-----BEGIN RSA PRIVATE KEY-----\nMIIE{B}\nqwertyui\n-----END RSA PRIVATE KEY-----\nand ssh://bob:s3cret@host:22/ or ftp://al:{A}@h",
+    10: f'a={C}&b={C[::-1]} {{"a_token":"{A}","api_key":"c3d4e5f6"}} "api_key":"abcdefghijklmnopqrstuvwx" pwd=x9z',
 }
+KEY = TEXTS[9].split("\nand")[0]
 WANT = {
     1: {A},
     2: {B, C},
@@ -22,6 +25,8 @@ WANT = {
     6: set(),
     7: {A},
     8: set(),
+    9: {KEY, "s3cret", A},
+    10: {C, A, "c3d4e5f6", "abcdefghijklmnopqrstuvwx"},
 }
 
 
@@ -38,8 +43,10 @@ def test_every_run_and_value(spark):
 
 
 def test_redacted(spark):
-    docs = spark.createDataFrame([(k, TEXTS[k]) for k in (3, 4, 5)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, TEXTS[k]) for k in (3, 4, 5, 9, 10)], "doc_id long, text string")
     found = labelled(findings(docs)).withColumn("is_secret", F.col("label") == 1)
     clean = {r.doc_id: r.text for r in redact(docs, found).collect()}
     assert clean[3] == f"token={MASK},password={MASK},host=a" and clean[4] == f"password={MASK} and pwd: '{MASK}' end" and clean[5] == f'secret = "{MASK}", "api-key":"{MASK}"'
+    assert clean[9] == f"{MASK}\nand ssh://bob:{MASK}@host:22/ or ftp://al:{MASK}@h"
+    assert clean[10] == f'a={MASK}&b={C[::-1]} {{"a_token":"{MASK}","api_key":"{MASK}"}} "api_key":"{MASK}" pwd=x9z'
     assert {r.value for r in scan(docs).collect()} >= WANT[3] | WANT[4] | WANT[5]

@@ -25,6 +25,25 @@ def test_learned_from_given_labels(spark):
     assert got == {hashlib.md5(b"x").hexdigest(): True, "host9.mail.example.com": False}
 
 
+def test_held_out_precision_and_recall(spark):
+    """Learned from three quarters of the documents, measured on the last; the names that label are no feature of their own."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    held = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2
+    known = labelled(findings(docs.where(~held)))
+    got = scan(docs.where(held), known.cache()).groupBy("label", "is_secret").count().collect()
+    n = {(r.label, r.is_secret): r["count"] for r in got}
+    hit, lost, wrong = (n.get(k, 0) for k in ((1.0, True), (1.0, False), (0.0, True)))
+    assert hit > 50 and hit / (hit + lost) >= 0.98 and hit / (hit + wrong) >= 0.98
+
+
+def test_masking_keeps_columns_and_places(spark):
+    docs = spark.createDataFrame([(1, "pin=1234 and 1234; password=longsecret1 longsecret1", 7, "x"), (1, "other", 8, None), (None, None, 9, "y")], "doc_id long, text string, _id int, `_spots` string")
+    found = spark.createDataFrame([(1, 4, "1234", True), (1, 28, "longsecret1", True), (1, 30, "ngsecret1", False)], "doc_id long, start long, value string, is_secret boolean")
+    got = redact(docs, found)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "pin=[SECRET] and 1234; password=[SECRET] [SECRET]", 7, "x"), (1, "other", 8, None), (None, None, 9, "y")], key=str)
+
+
 def test_odd_rows(spark):
     key = "AKIA" + "Z9" * 8
     rows = [(1, None, 1.0), (2, "", 1.0), (None, f"{key} x", 1.0), (3, "word " * 60_000 + f'secret: "{"a1" * 12}".', None), (3, "plain", 2.0)]
