@@ -153,13 +153,14 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     )
 
 
-def place(pieces: DataFrame, capacity: int = 2048, nodes: int = 6000, part_rows: int = 100_000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = 2048, nodes: int = 6000, part_rows: int = 1000, most_parts: int = 50_000) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with a ``length`` of 1 to ``capacity``.
 
     ``pieces`` must give the same rows each time it is read (see ``durable``). The driver gets a count per
     length. Pieces that fill a sequence alone get negative ids where they lie. The others are numbered
-    within their length in parts of about ``part_rows``, so that a common length is no one task's load; the
-    broadcast tables hold at most capacity + rows / part_rows rows, and a row per slot of a pattern.
+    within their length in parts of about ``part_rows``, so that a common length is no one task's load; there are at most
+    about ``most_parts`` in all, larger ones where rows are many, so the broadcast tables hold at most
+    capacity + most_parts rows, and a row per slot of a pattern.
     """
     spark = pieces.sparkSession
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
@@ -176,6 +177,7 @@ def place(pieces: DataFrame, capacity: int = 2048, nodes: int = 6000, part_rows:
             offset += length
         base += m
     slots_df = spark.createDataFrame(slots, "length long, low long, high long, shift long, offset long")
+    part_rows = max(part_rows, -(-sum(rest.values()) // most_parts))
     parts = spark.createDataFrame([(k, -(-n // part_rows)) for k, n in rest.items()], "length long, parts long")
     salted = (
         pieces.where(F.col("length") < capacity)

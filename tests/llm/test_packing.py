@@ -4,9 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
-from quarry.llm.packing import op7_best_fit_packing, pack_documents, plan, sequences
-from quarry.llm.tokens import ChunkEncoder, vocabulary
+from quarry.llm.packing import op7_best_fit_packing, pack_documents, place, plan, sequences
+from quarry.llm.tokens import vocabulary
 
 
 def held(patterns):
@@ -56,11 +57,12 @@ def test_plan_large_counts():
 
 
 def check(docs, got, capacity):
-    enc = ChunkEncoder.of(vocabulary())
-    texts = [(d.doc_id, d.text or "") for d in docs]
+    library = Tokenizer.from_file(vocabulary())
+    library.encode_special_tokens = True
     want = {}
-    for (key, _), ids in zip(texts, enc.encode([t for _, t in texts]), strict=True):
-        want.setdefault(key, []).append(np.append(np.frombuffer(ids, "<u4"), 0).astype("<u4"))
+    for d in docs:
+        ids = library.encode(d.text or "", add_special_tokens=False).ids
+        want.setdefault(d.doc_id, []).append(np.array([*ids, 0], "<u4"))
     by_doc = {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -95,6 +97,21 @@ def test_documents(spark):
     assert used <= 1.02 * least
 
 
+def test_parts_do_not_matter(spark):
+    rng = random.Random(2)
+    rows = [(i, 0, 0, rng.choice([7, 7, 7, 30, 33, 64, 12])) for i in range(3000)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long").repartition(5).cache()
+    for most in (50_000, 9):
+        got = place(pieces, 64, part_rows=100, most_parts=most).collect()
+        assert sorted((r.doc_id, r.length) for r in got) == [(r[0], r[3]) for r in rows]
+        seqs = {}
+        for r in got:
+            seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for places in seqs.values():
+            ends = np.cumsum([0] + [n for _, n in sorted(places)])
+            assert [o for o, _ in sorted(places)] == ends[:-1].tolist() and ends[-1] <= 64
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 5), (2, "", 5), (3, "word " * 5000, 5), (4, "a", None), (4, "a b", 1), (None, "c", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length int")
