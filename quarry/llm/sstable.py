@@ -165,7 +165,7 @@ class TableReader:
         bits = 8 * (len(self.bloom) - 1)
         if not all(self.bloom[1 + (p >> 3)] >> (p & 7) & 1 for p in _probes(key, bits, self.bloom[0])):
             return []
-        found, i = [], bisect_left([k for k, _, _ in self.index], key)
+        found, i = [], bisect_left(self.index, key, key=lambda e: e[0])
         while i < len(self.index):
             own = [v for k, v in self._block(*self.index[i][1:]) if k == key]
             found += own

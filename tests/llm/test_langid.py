@@ -34,6 +34,36 @@ def test_held_out_accuracy(spark):
     assert sum(r.ambiguous for r in got) < 0.02 * len(got)
 
 
+def test_predictions_against_plain_loops(spark):
+    """Every text's n-grams counted one by one, the bits of each codeword weighed one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = train(docs)
+    got = {r.doc_id: r for r in identify(docs.select("doc_id", "text"), model).collect()}
+    two32, bad = 2**32, 0
+    for r in docs.collect():
+        folded = [ord(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else 32 for c in f" {r.text or ''} "]
+        c = [x for i, x in enumerate(folded) if i == 0 or x != 32 or folded[i - 1] != 32]
+        bins = np.zeros(2048)
+        for n in (1, 2, 3):
+            for i in range(len(c) - n + 1):
+                h = c[i] * 2654435761 % two32
+                for k, factor in ((1, 2246822519), (2, 3266489917)):
+                    if n > k:
+                        h = (h * factor + c[i + k] * 668265263) % two32
+                        h ^= h >> 15
+                bins[(h * 2654435769 % two32 >> 21) % 2048] += 1
+        x = np.sqrt(bins / max(1, bins.sum())).astype(np.float32)
+        if not any(v != 32 for v in c):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0)
+            continue
+        f = [float(sum(x[i] * model.weights[i, j] for i in np.flatnonzero(x))) + float(model.bias[j]) for j in range(model.codes.shape[1])]
+        loss = [sum(model.trust[j] * np.log1p(np.exp(-code[j] * f[j])) for j in range(len(f))) for code in model.codes]
+        p = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        bad += got[r.doc_id].lang_pred != model.langs[int(np.argmin(loss))]
+        assert abs(got[r.doc_id].score - p.max()) < 1e-4
+    assert bad == 0
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     from quarry.llm.langid import held_out

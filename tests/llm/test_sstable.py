@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quarry.llm.files import AtomicFile, open_input
-from quarry.llm.sstable import TableReader, TableWriter, key_of, token_tables
+from quarry.llm.sstable import TableReader, TableWriter, key_of, op8_token_tables, token_tables
 from quarry.llm.tokens import ChunkEncoder, vocabulary
 
 
@@ -61,5 +61,17 @@ def test_round_trip(spark, encoder):
     assert zlib.crc32(bytes(got[0].ids)) == zlib.crc32(struct.pack(f"<{len(ids[0])}I", *ids[0]))
 
 
+def test_query_against_the_library(spark, encoder):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in op8_token_tables(spark, sf).collect()}
+    at = 0
+    assert got.keys() == texts.keys()
+    for k in sorted(texts):
+        ids = encoder.tokenizer.encode(texts[k], add_special_tokens=False).ids + [0]
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        at += len(ids)
+
+
 def test_empty(spark):
     assert token_tables(spark.createDataFrame([], "doc_id long, text string")).count() == 0
