@@ -4,9 +4,9 @@ A plan needs only how many pieces there are of each length, at most ``capacity``
 the corpus. The plan fills a sequence around the longest piece left with an undominated filling and
 repeats that pattern as often as the counts allow, which at least halves what is left of some length each time, so
 its patterns are few however large the counts. Branch and
-bound over those choices starts from the best-fit-decreasing plan as incumbent, cuts branches whose
-used sequences and least possible rest (tokens left, by capacity) cannot beat it, and ends at a proven
-optimum or after ``nodes`` steps. Spark then numbers the pieces of each length, in parts of bounded
+bound over those choices, in order of their waste, starts from the best-fit-decreasing plan as incumbent, cuts branches
+with more waste than a plan of one sequence less can have, and ends at as few sequences as the tokens need or after ``nodes``
+steps (choices opened, and fillings passed over as dominated); ``best_plan`` tells the bound and whether the plan is proven. Spark then numbers the pieces of each length, in parts of bounded
 size, and looks the numbers up in the plan. Tokens never move: only (id, piece, length) rows do.
 """
 
@@ -24,100 +24,134 @@ from quarry.session import durable
 Pattern = tuple[tuple[int, ...], int]  # lengths side by side, how many sequences of that kind
 
 
-def _below(counts: np.ndarray) -> list[int]:
-    """For each length, the longest one in stock that is no longer (0: none)."""
-    return np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0)).tolist()
-
-
-def completions(counts: np.ndarray, longest: int, breadth: tuple[int, ...], width: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room beside ``longest``, least waste first, longest pieces first on ties."""
-    below, found = _below(counts), []
-
-    def go(room: int, top: int, chosen: tuple[int, ...]) -> bool:
-        """Whether to look no further beside what was chosen before."""
-        x, tried = below[min(room, top)], 0
-        while x and tried < breadth[min(len(chosen), len(breadth) - 1)]:
-            if counts[x] - chosen.count(x) - (x == longest) > 0:
-                tried += 1
-                if go(room - x, x, (*chosen, x)):
-                    return bool(chosen) or len(found) > width
-            x = below[x - 1]
-        if not tried:
-            found.append((room, chosen))
-            return room == 0
-        return False
-
-    go(len(counts) - 1 - longest, longest, ())
-    out: list[tuple[int, ...]] = []
-    for waste, chosen in sorted(set(found), key=lambda f: (f[0], tuple(-x for x in f[1]))):
-        held = set(chosen)
-        longer = any(below[min(x + waste, longest)] > x and below[min(x + waste, longest)] not in held for x in chosen)
-        if not (waste and longer and out):  # a longer piece would fit in place of one: dominated
-            out.append(chosen)
-        if len(out) == width:
-            break
-    return out or [()]
+def _sums(lengths: list[int], room: int) -> dict[int, int]:
+    """For each length, ascending: which sums up to ``room`` its like and shorter ones can make, as bits, whatever their number."""
+    out, bits, whole = {}, 1, (1 << room + 1) - 1
+    for x in lengths:
+        step = x
+        while step <= room:
+            bits |= bits << step
+            step *= 2
+        bits &= whole
+        out[x] = bits
+    return out
 
 
-def plan(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[Pattern]:
-    """Patterns that hold exactly ``counts`` pieces of each length (1 to capacity), in as few sequences as found."""
+def completions(counts: np.ndarray, longest: int, most_waste: int) -> Iterator[tuple[int, tuple[int, ...] | None]]:
+    """``(waste, pieces)``: ``longest`` with every undominated filling of the room beside it, least waste first, longest pieces first on ties.
+
+    A filling is dominated if a piece in stock fits beside it, or in place of a shorter one of its pieces; for such a one pieces are None. No
+    filling is left out for their number: they are made as they are asked for, and sums that no pieces can make are not tried.
+    """
+    room = len(counts) - 1 - longest
+    left = counts.copy()
+    left[longest] -= 1
+    lengths = np.flatnonzero(left[: min(room, longest) + 1]).tolist()
+    reach = _sums(lengths, room)
+    ways = reach[lengths[-1]] if lengths else 1
+
+    def fill(want: int, at: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if want == 0:
+            yield chosen
+            return
+        while at >= 0 and reach[lengths[at]] >> want & 1:
+            x = lengths[at]
+            if x <= want and chosen.count(x) < left[x]:
+                yield from fill(want - x, at, (*chosen, x))
+            at -= 1
+
+    for waste in range(0, min(room, most_waste) + 1):
+        if not ways >> (room - waste) & 1:
+            continue
+        for chosen in fill(room - waste, len(lengths) - 1, ()):
+            if waste:
+                rest = [x for x in lengths if chosen.count(x) < left[x]]
+                if any(x <= waste or any(c < x <= c + waste for c in set(chosen)) for x in rest):
+                    yield waste, None
+                    continue
+            yield waste, (longest, *chosen)
+
+
+def best_plan(counts: dict[int, int], capacity: int, nodes: int = 6000) -> tuple[list[Pattern], int, bool]:
+    """(patterns, least number of sequences there can be, whether no fewer than those found can do).
+
+    Patterns hold exactly ``counts`` pieces of each length (1 to capacity). It is proven if as few as the tokens need were found, or
+    if the search ended before ``nodes`` steps without having taken a pattern several times at once.
+    """
     stock = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         stock[length] = n
     total = int((stock * np.arange(capacity + 1)).sum())
-    least = -(-total // capacity)
+    least = max(-(-total // capacity), int(stock[capacity // 2 + 1 :].sum()))  # two long ones never share
+    several = False
 
-    def take(chosen: tuple[int, ...], longest: int) -> int:
-        lengths, many = np.unique([longest, *chosen], return_counts=True)
+    def take(pattern: tuple[int, ...]) -> int:
+        nonlocal several
+        lengths, many = np.unique(pattern, return_counts=True)
         m = int((stock[lengths] // many).min())
         stock[lengths] -= m * many
+        several |= m > 1
         return m
 
     def put_back(pattern: tuple[int, ...], m: int) -> None:
         lengths, many = np.unique(pattern, return_counts=True)
         stock[lengths] += m * many
 
-    def greedy() -> list[Pattern]:
-        out = []
-        while stock.any():
-            longest = int(np.flatnonzero(stock)[-1])
-            chosen = completions(stock, longest, (1,), 1)[0]
-            out.append(((longest, *chosen), take(chosen, longest)))
-        return out
+    def best_fit(longest: int) -> tuple[int, ...]:
+        """The longest piece that fits, again and again."""
+        below = np.maximum.accumulate(np.where(stock > 0, np.arange(len(stock)), 0))
+        out, room, x = [longest], capacity - longest, longest
+        while x := int(below[min(room, x)]):
+            if stock[x] > out.count(x):
+                out.append(x)
+                room -= x
+            else:
+                x -= 1  # all of that length are in
+        return tuple(out)
 
-    best = greedy()
+    best: list[Pattern] = []
+    while stock.any():
+        pattern = best_fit(int(np.flatnonzero(stock)[-1]))
+        best.append((pattern, take(pattern)))
     used_best = sum(m for _, m in best)
     for p, m in best:
         put_back(p, m)
-    path: list[tuple[Pattern, int, Iterator]] = []  # what was taken, sequences so far, choices left
-    used, left = 0, total
-    steps = 0
+    path: list[tuple[Pattern, int, int, Iterator]] = []  # what was taken, sequences and waste before it, choices left
+    used, waste, steps, several = 0, 0, 0, False
     choices: Iterator | None = None
     while used_best > least and steps < nodes:
         if choices is None:
+            spare = (used_best - 1) * capacity - total - waste  # waste that a better plan may still have
             if not stock.any():
                 if used < used_best:
-                    best, used_best = [p for p, _, _ in path], used
+                    best, used_best = [p for p, *_ in path], used
                 choices = iter(())
-            elif used + -(-left // capacity) >= used_best:  # the waste so far is too much
+            elif spare < 0:
                 choices = iter(())
             else:
                 longest = int(np.flatnonzero(stock)[-1])
-                choices = iter([(longest, c) for c in completions(stock, longest, (24, 12, 4, 2, 1), 3)])
+                choices = completions(stock, longest, spare)
                 steps += 1
         nxt = next(choices, None)
         if nxt is None:
             if not path:
-                break
-            (pattern, m), used, choices = path.pop()
+                return best, least, used_best == least or not several
+            (pattern, m), used, waste, choices = path.pop()
             put_back(pattern, m)
-            left += m * sum(pattern)
             continue
-        longest, chosen = nxt
-        m = take(chosen, longest)
-        path.append((((longest, *chosen), m), used, choices))
-        used, left, choices = used + m, left - m * (longest + sum(chosen)), None
-    return best
+        w, pattern = nxt
+        if pattern is None:
+            steps += 1
+            continue
+        m = take(pattern)
+        path.append(((pattern, m), used, waste, choices))
+        used, waste, choices = used + m, waste + m * w, None
+    return best, least, used_best == least
+
+
+def plan(counts: dict[int, int], capacity: int, nodes: int = 6000) -> list[Pattern]:
+    """Patterns for ``counts`` pieces of each length, in as few sequences as ``best_plan`` finds."""
+    return best_plan(counts, capacity, nodes)[0]
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
