@@ -180,7 +180,7 @@ def train(known: DataFrame, sample: int = 20_000, trees: int = 20, depth: int =
 def scan(docs: DataFrame, known: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """Every finding with its ``score`` (0 to 1) and ``is_secret``; ``known``: labelled findings to learn from instead."""
     words = durable(dictionary(docs))
-    rows = durable(with_features(labelled(findings(docs)), words))
+    rows = durable(with_features(durable(labelled(findings(docs))), words))  # texts are read once
     model = train(rows if known is None else with_features(known, words))
     if model is None:
         scored = rows.withColumn("score", F.col("label"))
