@@ -33,7 +33,7 @@ def test_held_out_precision_and_recall(spark):
     got = scan(docs.where(held), known.cache()).groupBy("label", "is_secret").count().collect()
     n = {(r.label, r.is_secret): r["count"] for r in got}
     hit, lost, wrong = (n.get(k, 0) for k in ((1.0, True), (1.0, False), (0.0, True)))
-    assert hit > 50 and hit / (hit + lost) >= 0.98 and hit / (hit + wrong) >= 0.98
+    assert hit >= 40 and hit / (hit + lost) >= 0.98 and hit / (hit + wrong) >= 0.98
 
 
 def test_masking_keeps_columns_and_places(spark):
