@@ -240,7 +240,8 @@ def near_copies(docs: DataFrame, size: int = 5, least: tuple[int, int] = (4, 5),
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, size, one_in, most))
     met = _met(_prefixes(texts, size, num, den, common), num, den)
     group = durable(connected_components(near.unionByName(met)))
-    held = durable(texts.join(group, "node").dropDuplicates(["node"]).select("node", "component", "text"))
+    # one of equal texts, chosen before the exchange, so that many copies are no task's load
+    held = durable(texts.groupBy("node").agg(F.first("text").alias("text")).join(group, "node").select("node", "component", "text"))
     sure = durable(proven(near, held, size, num, den))
     class_of = connected_components(sure).withColumnRenamed("component", "class")
     members = held.join(class_of, "node", "left").withColumn("class", F.coalesce("class", "node"))
