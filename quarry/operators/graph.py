@@ -293,23 +293,34 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return by.agg((F.sum("inside") / m2 - F.sum(F.col("n") * F.col("n")) / (m2 * m2)).alias("q"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 40, levels: int = 20) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, passes: int = 6) -> DataFrame:
     """``(node, community)`` of high modularity, named by the least node in each; parallel edges add weight, direction does not count.
 
-    Half of a level's nodes, chosen anew by a hash, move in a round to the community beside them that gains most; two rounds without
-    a move, or ``rounds``, end the level, and communities become the nodes of the next until none of them joins another.
+    In a pass nodes move to the community beside them that gains most, then whole communities do, as nodes of a smaller graph, until none
+    joins another. The next pass moves single nodes again from there; passes end when one does not raise modularity, and
+    what is returned is the best one. Half of the nodes, chosen anew by a hash, move in a round; two rounds without a move, or ``rounds``, end it.
     """
     ends = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst")
     pairs = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     e = durable(pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w")))
     m2 = e.agg(F.sum("w")).first()[0]
     own = durable(e.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct())
-    for level in range(levels):
-        moved = _settle(e, m2, resolution, rounds, level) if m2 else None
-        if moved is None:
+    best = _quality(e, own, m2, resolution) if m2 else 0.0
+    for p in range(passes if m2 else 0):
+        at = _moves(e, own, m2, resolution, rounds, p)
+        now = _quality(e, at, m2, resolution)
+        while True:
+            up = durable(_between(e, at).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+            each = up.select(F.col("src").alias("node"), F.col("src").alias("community")).distinct()
+            to = _moves(up, each, m2, resolution, rounds, p).select(F.col("node").alias("community"), F.col("community").alias("to"))
+            new = durable(at.join(to, "community").select("node", F.col("to").alias("community")))
+            then = _quality(e, new, m2, resolution)
+            if then <= now + 1e-9:
+                break
+            at, now = new, then
+        if now <= best + 1e-9:
             break
-        own = durable(own.join(moved.select(F.col("node").alias("community"), F.col("community").alias("to")), "community").select("node", F.col("to").alias("community")))
-        e = durable(_between(e, moved).groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        own, best = at, now
     least = own.groupBy("community").agg(F.min("node").alias("to"))
     return own.join(least, "community").select("node", F.col("to").alias("community"))
 
@@ -325,27 +336,31 @@ def _quality(e: DataFrame, at: DataFrame, m2: float, resolution: float) -> float
     return by.agg(F.sum("inside") / m2 - resolution * F.sum(F.col("k") * F.col("k")) / (m2 * m2)).first()[0]
 
 
-def _settle(e: DataFrame, m2: float, resolution: float, rounds: int, level: int) -> DataFrame | None:
-    """``(node, community)`` after one level of moves, or None if they do not raise modularity."""
-    at = start = durable(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).withColumn("community", F.col("node")))
+#: Nodes up to which a row per node is broadcast to the edges; with more, both are exchanged.
+FEW_NODES = 100_000
+
+
+def _moves(e: DataFrame, start: DataFrame, m2: float, resolution: float, rounds: int, salt: int) -> DataFrame:
+    """``(node, community)`` after rounds of moves of single nodes from ``start`` (node, community)."""
+    at = durable(e.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k")).join(start, "node").select("node", "k", "community"))
     beside = e.where("src <> dst")
+    hint = F.broadcast if at.count() <= FEW_NODES else lambda d: d
     quiet = 0
     for r in range(rounds):
-        near = beside.join(at.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("w").alias("w"))
+        near = beside.join(hint(at.select(F.col("node").alias("dst"), "community")), "dst").select(F.col("src").alias("node"), "community", "w")
         totals = at.groupBy("community").agg(F.sum("k").alias("total"))
         options = near.unionByName(at.select("node", "community", F.lit(0.0).alias("w"))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-        options = options.join(totals, "community").join(at.select("node", "k", F.col("community").alias("now")), "node")
+        options = options.join(hint(totals), "community").join(hint(at.select("node", "k", F.col("community").alias("now"))), "node")
         stays = F.col("community") == F.col("now")
         gain = F.col("w") - resolution * F.col("k") * (F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)) / m2
         pick = F.max_by("community", F.struct(F.round(gain, 9), stays, -F.col("community")))
         best = options.groupBy("node").agg(F.first("k").alias("k"), F.first("now").alias("now"), pick.alias("to"))
-        new = durable(best.select("node", "k", "now", F.when(_turn(r + 1000 * level), F.col("to")).otherwise(F.col("now")).alias("community")))
+        new = durable(best.select("node", "k", "now", F.when(_turn(r + 1000 * salt), F.col("to")).otherwise(F.col("now")).alias("community")))
         quiet = quiet + 1 if new.where("community <> now").isEmpty() else 0
         at = new.drop("now")
         if quiet == 2:
             break
-    rose = _quality(e, at, m2, resolution) > _quality(e, start, m2, resolution) + 1e-9
-    return at.select("node", "community") if rose else None
+    return at.select("node", "community")
 
 
 def simple_paths(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
