@@ -293,7 +293,7 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return by.agg((F.sum("inside") / m2 - F.sum(F.col("n") * F.col("n")) / (m2 * m2)).alias("q"))
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, passes: int = 6) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, passes: int = 3) -> DataFrame:
     """``(node, community)`` of high modularity, named by the least node in each; parallel edges add weight, direction does not count.
 
     In a pass nodes move to the community beside them that gains most, then whole communities do, as nodes of a smaller graph, until none
