@@ -48,14 +48,15 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with its repeated lines gone, and ``n_lines, n_removed``; columns of those names are replaced."""
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     cut = repeated_stretches(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("_t", "_h")
-    # the row as one column, so that no name of its columns meets a name here
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_t"))
+    # the other columns as one, so that none of their names meets a name here
+    others = F.struct(F.lit(0).alias("_" * (1 + max(map(len, own)))), *[F.col(f"`{c}`") for c in own if c not in ("doc_id", "text")])
+    d = docs.select(others.alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_t"))
     joined = d.join(cut, d["doc_id"].eqNullSafe(cut["_id"]) & (d["_t"] == cut["_h"]), "left").withColumn("_l", F.split("text", "\n"))
     keep = F.filter("_l", lambda x, i: ~F.exists("_cut", lambda s: (i >= s["a"]) & (i < s["b"])))
     removed = F.aggregate("_cut", F.lit(0), lambda n, s: n + s["b"] - s["a"])
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
     return joined.select(
-        *[(text if c == "text" else F.col("_row").getField(c)).alias(c) for c in own],
+        *[(text if c == "text" else F.col(c) if c == "doc_id" else F.col("_row").getField(c)).alias(c) for c in own],
         F.when(F.col("text").isNull(), 0).otherwise(F.size("_l")).alias("n_lines"),
         F.coalesce(removed, F.lit(0)).alias("n_removed"),
     )

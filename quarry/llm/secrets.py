@@ -196,7 +196,8 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """
     spot = F.struct(F.col("start").cast("int").alias("start"), "value")
     of_doc = found.where("is_secret").groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set(spot)).alias("_spots"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "text")
+    others = F.struct(F.lit(0).alias("_" * (1 + max(map(len, docs.columns)))), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])
+    rows = docs.select(others.alias("_row"), "doc_id", "text")
     d = rows.join(of_doc, rows["doc_id"].eqNullSafe(of_doc["_id"]), "left")
     piece = lambda a, b: F.substring("text", a + 1, F.greatest(b - a, F.lit(0)))
     # spots in order; one that begins inside the one before, or is not in this text, is left out
@@ -205,7 +206,7 @@ def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     masked = F.aggregate("_spots", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a["out"], piece(a["at"], F.length("text"))))
     long = F.array_distinct(F.filter(F.transform("_spots", lambda s: F.struct(F.length(s["value"]).alias("n"), s["value"].alias("v"))), lambda s: s["n"] >= 8))
     clean = F.aggregate(F.reverse(F.array_sort(long)), masked, lambda t, s: F.replace(t, s["v"], F.lit(MASK)))
-    return d.select(*[(F.coalesce(clean, F.col("text")) if c == "text" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    return d.select(*[(F.coalesce(clean, F.col("text")) if c == "text" else F.col(c) if c == "doc_id" else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op5_secret_scan(spark, sf_dir) -> DataFrame:
