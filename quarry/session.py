@@ -58,6 +58,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Run ``df`` once and keep its rows in the shared checkpoint folder (lineage is cut)."""
+    """Run ``df`` once and keep its rows in the shared checkpoint folder (lineage is cut).
+
+    A checkpoint keeps the estimated size of its plan, which multiplies the sizes at every join: in a loop its digits double each
+    round, until they fill the driver's memory. An estimate that 64 bits do not hold decides nothing and is dropped.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    kept = df.checkpoint()
+    plan = kept._jdf.queryExecution().analyzed()
+    if plan.stats().sizeInBytes() < 2**63:
+        return kept
+    session, jvm = df.sparkSession, df.sparkSession._jvm
+    none = getattr(getattr(jvm.scala, "None$"), "MODULE$")
+    bare = jvm.org.apache.spark.sql.execution.LogicalRDD(
+        plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), plan.isStreaming(), none, session._jsparkSession, none, none
+    )
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, bare), session)

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import graph
+from quarry.session import durable
 
 
 def frame(spark, edges):
@@ -161,3 +163,24 @@ def test_match(spark):
     assert sorted(r.n.id for r in both.collect()) == ["a", "b"]
     at = spark.createDataFrame([("a", 2), ("c", 1)], "node string, n long")
     assert [tuple(r) for r in graph.has(at, nodes, "x > 1").collect()] == [("c", 1)]
+
+
+def test_kept_tables_of_a_loop_keep_small_estimates(spark):
+    at = spark.range(5).selectExpr("id AS node", "id AS label")
+    for _ in range(12):
+        at = durable(at.join(at.withColumnRenamed("label", "other"), "node").join(at.select("node"), "node").select("node", F.least("label", "other").alias("label")))
+    assert at._jdf.queryExecution().analyzed().stats().sizeInBytes() < 2**64
+    assert at.count() == 5 and at.where("node = label").count() == 5
+
+
+@pytest.mark.parametrize("measure", [graph.betweenness, graph.closeness])
+def test_edges_are_made_once(spark, measure):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = measure(frame(spark, [(0, 1), (1, 2), (2, 3), (0, 4), (4, 2)]).mapInArrow(count, "src long, dst long")).collect()
+    assert len(rows) == 5 and made.value == 5
