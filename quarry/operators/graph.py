@@ -123,7 +123,8 @@ def all_shortest(edges: DataFrame, source: int, target: int, direction: str = "o
 
 def hop_distances(edges: DataFrame) -> DataFrame:
     """``(source, node, d, ways)`` for all reachable pairs: breadth-first from every node, with the number of shortest ways."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
+    edges = durable(edges.select("src", "dst"))  # read every round
+    e = durable(edges.where("src <> dst").distinct())
     seen = durable(nodes_of(edges).select(F.col("node").alias("source"), "node", F.lit(0).alias("d"), F.lit(1).cast("double").alias("ways")))
     edge, d = seen, 0
     while not edge.isEmpty():
@@ -136,6 +137,7 @@ def hop_distances(edges: DataFrame) -> DataFrame:
 
 def closeness(edges: DataFrame) -> DataFrame:
     """Harmonic: the sum of 1 / distance to the nodes reachable, by (n - 1)."""
+    edges = durable(edges.select("src", "dst"))
     dist = hop_distances(edges)
     n = nodes_of(edges).count()
     return dist.groupBy(F.col("source").alias("node")).agg((F.coalesce(F.sum(F.when(F.col("d") > 0, 1 / F.col("d"))), F.lit(0.0)) / max(1, n - 1)).alias("score"))
@@ -143,7 +145,8 @@ def closeness(edges: DataFrame) -> DataFrame:
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """Directed, unweighted, by (n - 1)(n - 2): dependencies are summed level by level from the farthest nodes back."""
-    e = edges.where("src <> dst").select("src", "dst").distinct()
+    edges = durable(edges.select("src", "dst"))
+    e = durable(edges.where("src <> dst").distinct())
     dist = hop_distances(edges)
     n = nodes_of(edges).count()
     deepest = dist.agg(F.max("d")).first()[0] or 0

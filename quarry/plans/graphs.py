@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarry.operators import graph
 from quarry.operators.components import connected_components
 from quarry.registry import Registry
-from quarry.session import table
+from quarry.session import durable, table
 
 R = Registry()
 #: Nations as nodes: who orders from whom, where that is more than usual.
@@ -23,6 +23,7 @@ def trade(spark, sf):
     li = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     li = li.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     e = li.groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("n"))
+    e = durable(e)  # a row per pair of nations, made once
     return e.crossJoin(F.broadcast(e.agg(F.avg("n").alias("usual")))).where("n > usual").drop("usual")
 
 
