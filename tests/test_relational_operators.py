@@ -2,6 +2,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import aggregates, relational, versions
 
@@ -93,3 +94,18 @@ def test_versions(spark):
     assert log[3].before.v is None and log[3].before.w is None and log[3].after.w == 4.5 and log[4].before is None
     with pytest.raises(ValueError):
         list(relational.from_any({"a": df}).columns).index("missing")
+
+
+def test_join_in_parts_deals_a_busy_key(spark):
+    left = [(i, None if i % 3 == 0 else i % 3) for i in range(40)] + [(7, 1), (7, 1), (99, 5)]
+    right = [(100 + i, None if i % 2 == 0 else 1) for i in range(25)] + [(100, None), (300, 6)]
+    a, b = spark.createDataFrame(left, "i int, k int"), spark.createDataFrame(right, "j int, k int")
+    want = sorted((i, j) for i, k in left for j, m in right if k == m)
+    for rows, part in ((3, 4), (1000, 1000)):
+        met = relational.join_in_parts(a, b, "k", rows, part)
+        assert sorted((r.i, r.j) for r in met.select("i", "j").collect()) == want
+        assert met.columns == ["i", "k", "j", "k"]
+    assert sorted((r.i, r.j) for r in relational.join_null_safe(a, b, "k").select("i", "j").collect()) == want
+    # one key of 4,096 by 64 rows is more than one task's work
+    many = relational.join_in_parts(spark.range(4096).selectExpr("id AS i", "1 AS k"), spark.range(64).selectExpr("id AS j", "1 AS k"), "k", 256, 32).select("i", "j")
+    assert many.count() == 4096 * 64 and many.groupBy(F.spark_partition_id()).count().count() > 4
