@@ -28,11 +28,15 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return F.when(norms == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / norms)
 
 
+#: Queries whose distances to a block are in memory together: 64 by 8,192 are 4 MB a matrix.
+AT_ONCE = 64
+
+
 def _blocks(vectors: DataFrame, queries: DataFrame, block: int, query_block: int, search, schema: str) -> DataFrame:
     """``search(ids, matrix, query ids, query matrix) -> columns`` of each block of ``vectors`` with each block of ``queries``.
 
     Blocks hold about ``block`` and ``query_block`` rows, so a task's work is bounded however large both sides are, and nothing is
-    broadcast. All vectors must have one length; null ones take no part.
+    broadcast. ``search`` gets ``AT_ONCE`` queries at a time, which bounds its matrices. All vectors must have one length; null ones take no part.
     """
     base = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     ask = queries.where("query_id IS NOT NULL AND query IS NOT NULL").select("query_id", F.col("query").cast("array<double>").alias("v"))
@@ -50,7 +54,9 @@ def _blocks(vectors: DataFrame, queries: DataFrame, block: int, query_block: int
         x, y = np.stack(c["v"].to_numpy()), np.stack(q["v"].to_numpy())
         if x.shape[1] != y.shape[1]:
             raise ValueError(f"vectors of {x.shape[1]} and {y.shape[1]} components")
-        return pd.DataFrame(dict(zip(names, search(c["vec_id"].to_numpy(), x, q["query_id"].to_numpy(), y), strict=True)))
+        ids, asked = c["vec_id"].to_numpy(), q["query_id"].to_numpy()
+        found = [search(ids, x, asked[i : i + AT_ONCE], y[i : i + AT_ONCE]) for i in range(0, len(asked), AT_ONCE)]
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return right.groupBy("a", "b").cogroup(left.groupBy("a", "b")).applyInPandas(go, schema)
 
@@ -126,16 +132,17 @@ def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     return hit.agg((F.count("_hit") / F.count("*")).alias("recall"))
 
 
-def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample: int = 20_000, aim: float = 0.97, trial: int = 200) -> DataFrame:
+def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, probes: int | None = None, sample: int = 20_000, aim: float = 0.97, trial: int = 200, block: int = 8192, query_block: int = 1024) -> DataFrame:
     """Nearest by squared distance among the lists whose centres are nearest to the query: an inverted file over k-means.
 
     ``lists`` centres (by default the square root of the number of vectors, 1024 at most) are fitted on about ``sample`` vectors; every
     vector is in the list of its centre. ``probes``, where not given, is measured: for about ``trial`` of the queries the exact ``k`` nearest are
-    found, and as many lists are probed as hold ``aim`` of those. Queries meet vectors by a join on the list.
+    found, and as many lists are probed as hold ``aim`` of those. Queries meet vectors in units of lists of about ``block`` vectors.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    vectors = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     n = vectors.count()
     lists = lists or max(1, min(1024, int(n**0.5)))
     v = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
@@ -148,15 +155,80 @@ def ivf_search(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int |
         order = np.argsort(distances(centres, np.stack(q.to_numpy()).astype(float), "l2"), axis=1, kind="stable")
         return pd.Series(list(order.astype(np.int32)))
 
-    asked = durable(queries.withColumn("lists", nearest(F.col("query").cast("array<double>"))))
+    asked = durable(queries.where("query_id IS NOT NULL AND query IS NOT NULL").withColumn("lists", nearest(F.col("query").cast("array<double>"))))
+    n_asked = asked.count()
     if probes is None:
-        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, asked.count() // trial))) == 0)
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, n_asked // trial))) == 0)
         exact = similar(vectors, some, k, "l2").join(inside.select("vec_id", "list"), "vec_id").join(some.select("query_id", "lists"), "query_id")
         place = exact.select(F.array_position("lists", F.col("list")).alias("p"))
         probes = int(place.agg(F.percentile("p", aim)).first()[0] or lists)
-    near = asked.select("query_id", "query", F.explode(F.slice("lists", 1, probes)).alias("list"))
-    pairs = inside.join(near, "list").where("vec_id <> query_id")
-    return _ranked(pairs.select("query_id", "vec_id", F.round(distance(F.col("embedding"), F.col("query"), "l2"), 12).alias("distance")), k)
+    sizes = {r["list"]: r["n"] for r in inside.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row per list
+    return _ranked(_probe(inside, asked, sizes, probes, k, n_asked, block, query_block), k)
+
+
+def _units(sizes: dict[int, int], lists: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first unit of each list and over how many it is spread: small lists share a unit of about ``block`` vectors, a large one has several."""
+    first, spread, unit, full = np.zeros(lists, int), np.ones(lists, int), 0, 0
+    for i in range(lists):
+        n = sizes.get(i, 0)
+        if full and full + n > block:
+            unit, full = unit + 1, 0
+        first[i], spread[i] = unit, max(1, -(-n // block))
+        full += n
+        if spread[i] > 1:
+            unit, full = unit + spread[i], 0
+    return first, spread
+
+
+def _probe(inside: DataFrame, asked: DataFrame, sizes: dict[int, int], probes: int, k: int, n_asked: int, block: int, query_block: int) -> DataFrame:
+    """The ``k`` nearest in each unit of lists: a query goes once to a unit that has lists it probes, and there meets the vectors of those alone."""
+    lists = 1 + max(sizes, default=0)
+    first, spread = _units(sizes, lists, block)
+    asks = max(1, -(-n_asked // query_block))
+
+    @F.pandas_udf("array<struct<unit: int, want: array<int>>>")
+    def units(probed: pd.Series) -> pd.Series:
+        out = []
+        for row in probed:
+            at: dict[int, list[int]] = {}
+            for i in row[:probes]:
+                for u in range(first[i], first[i] + spread[i]) if i < lists else ():
+                    at.setdefault(int(u), []).append(int(i))
+            out.append([{"unit": u, "want": w} for u, w in at.items()])
+        return pd.Series(out)
+
+    @F.pandas_udf("int")
+    def unit_of(lst: pd.Series, key: pd.Series) -> pd.Series:
+        i = lst.to_numpy()
+        return pd.Series((first[i] + key.to_numpy() % spread[i]).astype(np.int32))
+
+    def go(q, c):
+        if not len(q) or not len(c):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
+        c = c.sort_values("list", kind="stable")
+        ids, x, own = c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy()), c["list"].to_numpy()
+        names, starts = np.unique(own, return_index=True)
+        ends = np.append(starts[1:], len(own))
+        asked, y, want = q["query_id"].to_numpy(), np.stack(q["v"].to_numpy()), q["want"].to_numpy()
+        found = []
+        for s in range(0, len(asked), AT_ONCE):
+            some, near = asked[s : s + AT_ONCE], y[s : s + AT_ONCE]
+            probed = np.stack([np.isin(names, w) for w in want[s : s + AT_ONCE]])
+            d, ok = np.full((len(some), len(ids)), np.inf), np.zeros((len(some), len(ids)), bool)
+            for j in range(len(names)):
+                rows = np.flatnonzero(probed[:, j])
+                if len(rows):
+                    d[rows, starts[j] : ends[j]] = distances(x[starts[j] : ends[j]], near[rows], "l2")
+                    ok[rows, starts[j] : ends[j]] = True
+            i, j = _head(d, ids, some, ok, k)
+            found.append((some[i], ids[j], d[i, j]))
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+
+    double = lambda c: F.col(c).cast("array<double>").alias("v")
+    left = inside.select("vec_id", double("embedding"), "list", unit_of("list", F.pmod(F.xxhash64("vec_id"), F.lit(2**31))).alias("unit"))
+    left = left.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(asks - 1))))
+    right = asked.select("query_id", double("query"), F.pmod(F.xxhash64("query_id", "query"), F.lit(asks)).cast("int").alias("a"), F.inline(units("lists")))
+    return right.groupBy("unit", "a").cogroup(left.groupBy("unit", "a")).applyInPandas(go, "query_id long, vec_id long, distance double")
 
 
 def tokens(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -97,3 +97,27 @@ def test_dbscan_against_brute_force(spark):
             best = min(beside, key=lambda q: ((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2, q[0]))[0] if beside else None
             assert got[p[0]] == (-1 if best is None else got[best])
     assert len(set(got.values())) > 3
+
+
+def test_few_queries_are_compared_at_once(spark):
+    vectors = spark.range(300).selectExpr("id AS vec_id", "array(cast(id AS double), 1D) AS embedding")
+    asked = vectors.selectExpr("vec_id AS query_id", "embedding AS query")
+
+    def sizes(ids, x, some, y):
+        return some, np.full(len(some), len(some))
+
+    rows = search._blocks(vectors, asked, 1000, 1000, sizes, "query_id long, n long").collect()
+    assert sorted(r.query_id for r in rows) == list(range(300)) and max(r.n for r in rows) <= 64
+
+
+def test_ivf_of_all_lists_is_exact(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(i % 2 * 9, 1, 3)]) for i in range(400)] + [(400, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    key = lambda d: sorted((r.query_id, r["rank"], r.vec_id, round(r.distance, 9)) for r in d.collect())
+    want = key(search.similar(vectors, asked, 5, "l2"))
+    assert key(search.ivf_search(vectors, asked, 5, lists=4, probes=4, block=40, query_block=7)) == want  # lists spread over units
+    assert key(search.ivf_search(vectors, asked, 5, lists=12, probes=12, block=1000)) == want  # many lists a unit
+    one = search.ivf_search(vectors, asked, 5, lists=2, probes=1, block=64, query_block=8).collect()
+    assert all((r.vec_id - r.query_id) % 2 == 0 for r in one) and len(one) == 100
