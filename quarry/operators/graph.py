@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.components import connected_components
+from quarry.operators.rounds import Nodes, Slices, Vector, spark_hash
 from quarry.session import durable
 
 
@@ -171,28 +173,35 @@ def betweenness(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, seeds: DataFrame | None = None) -> DataFrame:
     """``(node, score)``, summing to 1. Mass of nodes without out-edges goes where the restart goes (all nodes, or ``seeds``)."""
-    e = durable(edges.select("src", "dst").distinct())
+    e = durable(_ends(edges).distinct())
     out = e.groupBy("src").agg(F.count("*").alias("n"))
-    links = durable(e.join(out, "src").select("src", "dst", (1 / F.col("n")).alias("w")))
     nodes = nodes_of(e)
     start = nodes.withColumn("in_seeds", F.lit(1)) if seeds is None else nodes.join(seeds.select("node").distinct().withColumn("in_seeds", F.lit(1)), "node", "left").fillna(0, ["in_seeds"])
-    start = start.join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left").fillna(True, ["dangling"])
+    start = durable(start.join(out.withColumnRenamed("src", "node"), "node", "left").fillna(0, ["n"]))
     m = start.agg(F.sum("in_seeds")).first()[0]
-    ranks = durable(start.select("node", "dangling", (F.col("in_seeds") / m).alias("restart"), (F.col("in_seeds") / m).alias("score")))
-    for _ in range(rounds):
-        loose = ranks.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
-        sent = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        new = ranks.join(sent, ranks["node"] == sent["dst"], "left").select(
-            "node", "dangling", "restart", (F.col("restart") * (1 - alpha + alpha * loose) + alpha * F.coalesce("got", F.lit(0.0))).alias("new"), "score"
-        )
-        new = durable(new)
-        change = new.agg(F.sum(F.abs(F.col("new") - F.col("score")))).first()[0] or 0.0
-        ranks = new.select("node", "dangling", "restart", F.col("new").alias("score"))
+    at = Nodes(start.select("node", F.col("n").cast("double").alias("n"), (F.col("in_seeds") / m).alias("restart")))
+    links, scores = at.edges(e), at.columns["restart"]
+
+    def step(part, score, n, restart):
+        loose = score[n == 0].sum()
+        sent = np.divide(score, n, out=np.zeros(len(score)), where=n > 0)
+        new = restart[part.lo : part.hi] * (1 - alpha + alpha * loose) + alpha * part.gather(sent[part.src], np.add, 0.0)
+        return [new], [np.abs(new - score[part.lo : part.hi]).sum()]
+
+    for _ in range(rounds if at.n else 0):
+        (new,), (change,) = links.round(step, [scores, at.columns["n"], at.columns["restart"]], 1)
+        if scores is not at.columns["restart"]:
+            scores.drop()
+        scores = new
         if change < tolerance:
             break
     else:
-        _settled(tolerance, rounds)
-    return ranks.select("node", "score")
+        _settled(tolerance if at.n else 0, rounds)
+    return at.frame("score double", score=scores)
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def _settled(tolerance: float, rounds: int) -> None:
@@ -201,41 +210,70 @@ def _settled(tolerance: float, rounds: int) -> None:
         raise RuntimeError(f"scores did not settle to {tolerance} in {rounds} rounds")
 
 
-def _power(step, nodes: DataFrame, tolerance: float, rounds: int) -> DataFrame:
-    """Repeat ``step`` on (node, score), scaled to length 1 each time."""
-    n = max(1, nodes.count())
-    v = durable(nodes.select("node", F.lit(n**-0.5).alias("score")))
-    for _ in range(rounds):
-        new = durable(nodes.join(step(v), "node", "left").fillna(0.0, ["score"]))
-        norm = (new.agg(F.sum(F.col("score") ** 2)).first()[0] or 0.0) ** 0.5
-        if norm == 0:
-            return new
-        new = new.withColumn("score", F.col("score") / norm)
-        change = new.join(v.withColumnRenamed("score", "o"), "node").agg(F.sum(F.abs(F.col("score") - F.col("o")))).first()[0] or 0.0
-        v = durable(new)
-        if change < tolerance:
+def _power(step, at: Nodes, tolerance: float, rounds: int) -> tuple[Vector, float]:
+    """Repeat ``step(vector, factor, its forerunner, that one's factor) -> (vector, sum of squares, change)``: the vector it settles at, and the factor that makes its length 1.
+
+    A step also tells how far the vector it begins with is from the one before, both of length 1.
+    """
+    old, old_by, v, by = None, 0.0, at.full(1.0), at.n**-0.5 if at.n else 1.0
+    for r in range(rounds + 1 if at.n else 0):
+        new, squares, change = step(v, by, old or v, old_by)
+        if r and change < tolerance:
+            new.drop()
+            return v, by
+        if r == rounds:
             break
-    else:
-        _settled(tolerance, rounds)
-    return v
+        if old is not None:
+            old.drop()
+        old, old_by, v, by = v, by, new, squares**-0.5 if squares else 0.0
+        if not squares:
+            return v, 0.0
+    _settled(tolerance if at.n else 0, rounds)
+    return v, by
+
+
+def _pull(by: float, old_by: float, own: float):
+    """Each node's sum of ``v`` over its edges, and ``own`` times its own; the numbers are the sum of squares and the change of ``v``."""
+
+    def do(part, v, old):
+        mine = v[part.lo : part.hi] * by
+        new = part.gather(v[part.src] * by, np.add, 0.0) + own * mine
+        return [new], [(new * new).sum(), np.abs(mine - old[part.lo : part.hi] * old_by).sum()]
+
+    return do
 
 
 def eigenvector(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 500) -> DataFrame:
     """Undirected; the shifted matrix (A + I) has the same leading vector and settles on bipartite graphs too."""
-    e = durable(both_ways(edges))
-    step = lambda v: e.join(v, e["dst"] == v["node"]).select(F.col("src").alias("node"), "score").unionByName(v.select("node", "score")).groupBy("node").agg(F.sum("score").alias("score"))
-    return _power(step, nodes_of(edges), tolerance, rounds)
+    kept = durable(_ends(edges).distinct())
+    at = Nodes(nodes_of(kept))
+    e = at.edges(durable(both_ways(kept)))
+
+    def step(v, by, old, old_by):
+        (new,), (squares, change) = e.round(_pull(by, old_by, 1.0), [v, old], 1)
+        return new, squares, change
+
+    v, by = _power(step, at, tolerance, rounds)
+    return at.frame("score double", score=v).select("node", (F.col("score") * F.lit(by)).alias("score"))
 
 
 def hits(edges: DataFrame, tolerance: float = 1e-6, rounds: int = 500) -> DataFrame:
     """``(node, hub, authority)``, both of length 1."""
-    e = durable(edges.select("src", "dst").distinct())
-    along = lambda v: e.join(v, e["src"] == v["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("score").alias("score"))
-    back = lambda v: e.join(v, e["dst"] == v["node"]).groupBy(F.col("src").alias("node")).agg(F.sum("score").alias("score"))
-    hub = _power(lambda v: back(along(v)), nodes_of(e), tolerance, rounds)
-    authority = nodes_of(e).join(along(hub), "node", "left").fillna(0.0, ["score"])
-    norm = (authority.agg(F.sum(F.col("score") ** 2)).first()[0] or 0.0) ** 0.5 or 1.0
-    return hub.withColumnRenamed("score", "hub").join(authority.select("node", (F.col("score") / norm).alias("authority")), "node")
+    kept = durable(_ends(edges).distinct())
+    at = Nodes(nodes_of(kept))
+    into, outof = at.edges(kept), at.edges(kept, "dst", "src")
+
+    def step(v, by, old, old_by):
+        (a,), (_, change) = into.round(_pull(by, old_by, 0.0), [v, old], 1)
+        (new,), (squares, _) = outof.round(_pull(1.0, 0.0, 0.0), [a, a], 1)
+        a.drop()
+        return new, squares, change
+
+    hub, by = _power(step, at, tolerance, rounds)
+    (authority,), (squares, _) = into.round(_pull(by, 0.0, 0.0), [hub, hub], 1)
+    scale = squares**-0.5 if squares else 1.0
+    out = at.frame("hub double, authority double", hub=hub, authority=authority)
+    return out.select("node", (F.col("hub") * F.lit(by)).alias("hub"), (F.col("authority") * F.lit(scale)).alias("authority"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -270,20 +308,42 @@ def label_propagation(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
     Half of the nodes move in a round, the other half in the next. It ends when no node would move; not to end is an error.
     """
-    e = durable(both_ways(edges))
-    labels = durable(nodes_of(edges).withColumn("label", F.col("node")))
-    quiet = 0
-    for r in range(rounds):
-        votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "label").agg(F.count("*").alias("n"))
-        votes = votes.join(labels.select(F.col("node").alias("src"), F.col("label").alias("own")), "src")
-        best = votes.groupBy("src").agg(F.min_by("label", F.struct(-F.col("n"), F.col("label") != F.col("own"), "label")).alias("new"))
-        new = labels.join(best, labels["node"] == best["src"], "left").select("node", "label", F.when(_turn(r), F.coalesce("new", "label")).otherwise(F.col("label")).alias("new"))
-        new = durable(new)
-        quiet = quiet + 1 if new.where("new <> label").isEmpty() else 0
-        labels = new.select("node", F.col("new").alias("label"))
+    kept = durable(_ends(edges).distinct())
+    at = Nodes(nodes_of(kept))
+    e, labels, quiet = at.edges(durable(both_ways(kept))), at.full(None), 0
+
+    def step(r):
+        def do(part, label, ids):
+            n, own = len(label), label[part.lo : part.hi]
+            key = np.sort((part.dst.astype(np.int64) - part.lo) * n + label[part.src])
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            count, at_node, vote = np.diff(np.r_[first, len(key)]), key[first] // n, key[first] % n
+            order = np.lexsort((vote, vote != own[at_node], -count, at_node))
+            head = order[np.flatnonzero(np.r_[True, at_node[order][1:] != at_node[order][:-1]])] if len(order) else order
+            new = own.copy()
+            new[at_node[head]] = vote[head]
+            moves = spark_hash(ids[part.lo : part.hi], r // 2) % 2 == r % 2
+            new = np.where(moves, new, own)
+            return [new], [(new != own).sum()]
+
+        return do
+
+    for r in range(rounds if at.n else 0):
+        (new,), (moved,) = e.round(step(r), [labels, at.ids], 1)
+        labels.drop()
+        labels, quiet = new, 0 if moved else quiet + 1
         if quiet == 2:
-            return labels.select("node", F.col("label").alias("community"))
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+            break
+    else:
+        if at.n:
+            raise RuntimeError(f"labels did not settle in {rounds} rounds")
+    return _named(at, labels, "community")
+
+
+def _named(at: Nodes, of: Vector, name: str) -> DataFrame:
+    """``(node, name)`` where ``of`` holds a number of a node for each node."""
+    (ids,), _ = Slices(at).round(lambda part, number, known: ([known[number[part.lo : part.hi].astype(np.int64)]], [0]), [of, at.ids], 1)
+    return at.frame(f"{name} long", **{name: ids})
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
@@ -494,37 +554,67 @@ def strong_components(edges: DataFrame) -> DataFrame:
     What is on no cycle is taken away first. Then colours spread forward from the largest node; what reaches its colour's root backward is
     one component. Every round settles each colour's root, and the loop ends when no edge is left.
     """
-    nodes = durable(nodes_of(edges.where("src IS NOT NULL AND dst IS NOT NULL")))
-    left, found = on_cycles(edges), []
-    while not left.isEmpty():
-        colour = _spread(left, durable(nodes_of(left).select("node", F.col("node").alias("label"))))
-        inside = durable(_within(left, colour))
-        hit = neighborhood(inside, colour.where("node = label").select("node"), 1_000_000, "in").select("node")
-        one = durable(colour.join(hit, "node", "left_semi").select("node", F.col("label").alias("component")))
-        found = [durable(reduce(DataFrame.unionByName, [*found, one]))]
-        # an edge that leaves its colour, or a settled component, lies on no cycle
-        rest = inside.join(one.select(F.col("node").alias("src")), "src", "left_anti").join(one.select(F.col("node").alias("dst")), "dst", "left_anti")
-        left = on_cycles(rest)
-    if not found:
-        return nodes.select("node", F.col("node").alias("component"))
-    return nodes.join(found[0], "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def _within(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Edges whose ends have one label."""
-    a, b = labels.withColumnsRenamed({"node": "src", "label": "a"}), labels.withColumnsRenamed({"node": "dst", "label": "b"})
-    return edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
-
-
-def _spread(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """Largest label that reaches each node along the edges."""
-    while True:
-        got = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.max("label").alias("got"))
-        new = durable(labels.join(got, labels["node"] == got["dst"], "left").select("node", "label", F.greatest("label", "got").alias("new")))
-        settled = new.where("new > label").isEmpty()
-        labels = new.select("node", F.col("new").alias("label"))
-        if settled:
-            return labels
+    kept = durable(_ends(edges).distinct())
+    at, real = Nodes(nodes_of(kept)), durable(kept.where("src <> dst"))
+    ways = [at.edges(real), at.edges(real, "dst", "src")]
+    # nodes of different regions reach each other one way at most; -1: settled
+    region, component = at.full(0), at.full(None)
+
+    def near(part, region):
+        return (region[part.src] == region[part.dst]) & (region[part.dst] >= 0)
+
+    def trim(part, region):
+        """Nodes to or from which no edge of their region leads are alone."""
+        before = region[part.lo : part.hi].copy()
+        while True:
+            alone = (region[part.lo : part.hi] >= 0) & (part.gather(near(part, region).astype(np.int8), np.maximum, 0) == 0)
+            if not alone.any():
+                break
+            region[part.lo : part.hi][alone] = -1
+        now = region[part.lo : part.hi].copy()
+        return [now], [(now != before).sum(), (now >= 0).sum()]
+
+    def spread(part, label, region, inside):
+        """The largest label that reaches a node, within its region and, with ``inside``, within what that vector holds alike."""
+        before, ok = label[part.lo : part.hi].copy(), near(part, region) & (inside[part.src] == inside[part.dst])
+        while True:
+            got = np.maximum(part.gather(np.where(ok, label[part.src], -1), np.maximum, -1), label[part.lo : part.hi])
+            if (got == label[part.lo : part.hi]).all():
+                break
+            label[part.lo : part.hi] = got
+        return [got], [(got != before).sum()]
+
+    def reach(edges, label, inside):
+        changed = 1
+        while changed:
+            (new,), (changed,) = edges.round(spread, [label, region, inside], 1)
+            label.drop()
+            label = new
+        return label
+
+    def settle(part, region, component, colour, hit):
+        mine = slice(part.lo, part.hi)
+        here = (region[mine] >= 0) & (hit[mine] > 0)
+        return [np.where(here | (region[mine] < 0), -1, colour[mine]), np.where(here, colour[mine], component[mine])], [((region[mine] >= 0) & ~here).sum()]
+
+    left = at.n
+    while left:
+        quiet = 0
+        while left and quiet < 2:
+            for way in ways:
+                (new,), (gone, left) = way.round(trim, [region], 1)
+                region.drop()
+                region, quiet = new, 0 if gone else quiet + 1
+        if not left:
+            break
+        colour = reach(ways[0], at.full(None), at.full(0))
+        (roots,), _ = Slices(at).round(lambda part, c: ([(c[part.lo : part.hi] == np.arange(part.lo, part.hi)).astype(np.int64)], [0]), [colour], 1)
+        hit = reach(ways[1], roots, colour)
+        (new, named), (left,) = Slices(at).round(settle, [region, component, colour, hit], 2)
+        for v in (region, component, colour, hit):
+            v.drop()
+        region, component = new, named
+    return _named(at, component, "component")
 
 
 def properties(edges: DataFrame) -> DataFrame:
