@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import durable
+
 
 def from_any(collections: dict[str, DataFrame]) -> DataFrame:
     """All collections as one, columns united by name, with ``collection`` saying whence a row comes."""
@@ -100,6 +102,26 @@ def join_range(left: DataFrame, right: DataFrame, low: str, high: str, at: str,
     return a.join(b, "_cell").where((F.col(at) >= F.col(low)) & (F.col(at) < F.col(high))).drop("_cell")
 
 
+def count_in_range(left: DataFrame, right: DataFrame, low: str, high: str, at: str, width: float) -> DataFrame:
+    """``left`` with ``n``: how many rows of ``right`` have low <= at < high, without making the pairs. Null and empty ranges: 0.
+
+    Points are counted per different ``at``; what is below a bound is what lies in earlier cells of ``width`` and earlier in its own cell.
+    """
+    cell = lambda c: F.floor(F.col(c) / width)
+    points = right.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("_x")).agg(F.count("*").alias("_n"))
+    some = left.where(F.col(low) < F.col(high))
+    bounds = some.select(F.col(low).alias("_x")).union(some.select(F.col(high))).distinct()
+    marks = points.select("_x", "_n").unionByName(bounds.withColumn("_n", F.lit(0).cast("long"))).groupBy("_x").agg(F.sum("_n").alias("_n")).withColumn("_cell", cell("_x"))
+    cells = marks.groupBy("_cell").agg(F.sum("_n").alias("_all"))
+    before = cells.select("_cell", (F.sum("_all").over(Window.orderBy("_cell")) - F.col("_all")).alias("_before"))  # a row per cell
+    inside = F.sum("_n").over(Window.partitionBy("_cell").orderBy("_x")) - F.col("_n")
+    below = durable(marks.withColumn("_in", inside).join(before, "_cell").select("_x", (F.col("_in") + F.col("_before")).alias("_below")))
+    lows, highs = (below.select(F.col("_x").alias(x), F.col("_below").alias(n)) for x, n in (("_lo", "_a"), ("_hi", "_b")))
+    met = left.join(lows, left[low] == lows["_lo"], "left").join(highs, left[high] == highs["_hi"], "left")
+    n = F.when(F.col(low) < F.col(high), F.col("_b") - F.col("_a")).otherwise(0)
+    return met.select(*[left[c] for c in left.columns], n.alias("n"))
+
+
 def quantified(df: DataFrame, value: str, op: str, sub: DataFrame, column: str, every: bool) -> DataFrame:
     """``df`` with ``holds``: whether ``value op ANY`` (or, with ``every``, ``ALL``) of ``column`` of ``sub``; three-valued as in SQL.
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import aggregates, relational, versions
+from quarry.plans.relational import _within_ten_minutes
 
 
 def at(seconds):
@@ -109,3 +110,18 @@ def test_join_in_parts_deals_a_busy_key(spark):
     # one key of 4,096 by 64 rows is more than one task's work
     many = relational.join_in_parts(spark.range(4096).selectExpr("id AS i", "1 AS k"), spark.range(64).selectExpr("id AS j", "1 AS k"), "k", 256, 32).select("i", "j")
     assert many.count() == 4096 * 64 and many.groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_counts_in_ranges_make_no_pairs(spark):
+    rng = random.Random(3)
+    ranges = [(i, rng.choice([None, *range(-30, 30)]), rng.choice([None, *range(-30, 60)])) for i in range(60)]
+    points = [(rng.choice([None, *range(-40, 70)]),) for _ in range(80)]
+    a, b = spark.createDataFrame(ranges, "i int, low long, high long"), spark.createDataFrame(points, "at long")
+    want = {i: sum(1 for (x,) in points if None not in (lo, hi, x) and lo <= x < hi) for i, lo, hi in ranges}
+    for width in (7, 1000):
+        assert {r.i: r.n for r in relational.count_in_range(a, b, "low", "high", "at", width).collect()} == want
+    # 100,000 events of one moment would be 10,000 million pairs
+    crowd = spark.range(100_000).selectExpr("id AS event_id", "timestamp_seconds(5) AS ts")
+    assert _within_ten_minutes(crowd).agg(F.min("n"), F.max("n"), F.count("*")).first() == (99_999, 99_999, 100_000)
+    twice = spark.createDataFrame([(1, 0), (1, 10), (2, 20), (3, 5000), (4, None)], "event_id long, s long").selectExpr("event_id", "timestamp_seconds(s) AS ts")
+    assert [tuple(r) for r in _within_ten_minutes(twice).collect()] == [(1, 2)]
