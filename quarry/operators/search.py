@@ -253,8 +253,8 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
 
 def tfidf(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(key, term, tf, df, weight)`` of every term of every text: counts times the logarithm of (documents + 1) / (df + 1), plus 1."""
-    tf = durable(tokens(docs, key, text))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    tf = tokens(docs, key, text)
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))  # all of them; reading tf, both sides share one exchange
     n = docs.agg(F.count("*").alias("_docs"))
     weight = F.col("tf") * (F.ln((F.col("_docs") + 1) / (F.col("df") + 1)) + 1)
     return tf.join(df, "term").crossJoin(F.broadcast(n)).select(key, "term", "tf", "df", weight.alias("weight"))

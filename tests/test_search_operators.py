@@ -121,3 +121,11 @@ def test_ivf_of_all_lists_is_exact(spark):
     assert key(search.ivf_search(vectors, asked, 5, lists=12, probes=12, block=1000)) == want  # many lists a unit
     one = search.ivf_search(vectors, asked, 5, lists=2, probes=1, block=64, query_block=8).collect()
     assert all((r.vec_id - r.query_id) % 2 == 0 for r in one) and len(one) == 100
+
+
+def test_tfidf_keeps_nothing_and_shares_its_exchange(spark, monkeypatch):
+    monkeypatch.setattr(search, "durable", None)
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, None)], "doc_id long, text string")
+    d = search.tfidf(docs, "doc_id", "text")
+    assert sorted((r.doc_id, r.term, r.tf, r.df) for r in d.collect()) == [(1, "a", 2, 1), (1, "b", 1, 2), (2, "b", 1, 2)]
+    assert d._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") >= 1
