@@ -23,7 +23,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.tokens import give_back, text_batches
+
 BINS = 2048
+#: Characters whose n-grams a task holds at a time (about 60 bytes each), beside one text at least.
+CHARS = 300_000
 _FOLD: list[np.ndarray] = []
 
 
@@ -123,6 +127,13 @@ def fit(x: np.ndarray, langs_of: list[str], rounds: int = 300, rate: float = 30.
     return LanguageModel(langs, codes, w, b, trust)
 
 
+def _few(column) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts): texts of an Arrow column, 200 at most and of about ``CHARS`` characters."""
+    for span, texts in text_batches(column, CHARS):
+        for a in range(0, len(texts), 200):
+            yield span.start + a, texts[a : a + 200]
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 4 == 2, F.lit(True))
 
@@ -140,11 +151,11 @@ def train(docs: DataFrame, per_lang: int = 800) -> LanguageModel:
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                x, letters = features(part.column(1).to_pylist())
+            for at, texts in _few(batch.column(1)):
+                x, letters = features(texts)
                 raw = pa.array([v.astype(np.float16).tobytes() for v in x], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), raw, pa.array(letters)], names=["lang", "x", "letters"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), raw, pa.array(letters)], names=["lang", "x", "letters"])
+        give_back()
 
     sample = known.where(drawn).select("lang", "text").mapInArrow(go, "lang string, x binary, letters boolean")
     rows = [r for r in sample.collect() if r["letters"]]
@@ -168,17 +179,12 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            text_at = batch.schema.get_field_index("text")
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            from quarry.llm.tokens import in_batches
-
-            for span in in_batches(texts, 1_000_000):
-                for a in range(span.start, span.stop, 200):
-                    b = min(a + 200, span.stop)
-                    pred, score, close = shared.value.predict(texts[a:b])
-                    part = batch.slice(a, b - a)
-                    cols = [*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(close)]
-                    yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score", "ambiguous"])
+            for at, texts in _few(batch.column(batch.schema.get_field_index("text"))):
+                pred, score, close = shared.value.predict(texts)
+                part = batch.slice(at, len(texts))
+                cols = [*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(close)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*names, "lang_pred", "score", "ambiguous"])
+        give_back()
 
     return docs.select(*names).mapInArrow(go, schema)
 

@@ -12,13 +12,14 @@ size, and looks the numbers up in the plan. Tokens never move: only (id, piece,
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.tokens import ChunkEncoder, in_batches, vocabulary
+from quarry.llm.tokens import ChunkEncoder, text_batches, vocabulary
 from quarry.session import durable
 
 Pattern = tuple[tuple[int, ...], int]  # lengths side by side, how many sequences of that kind
@@ -37,6 +38,18 @@ def _sums(lengths: list[int], room: int) -> dict[int, int]:
     return out
 
 
+def _fillings(want: int, at: int, chosen: tuple[int, ...], lengths: list[int], reach: dict[int, int], left: np.ndarray) -> Iterator[tuple[int, ...]]:
+    """``chosen`` with pieces of ``lengths[at]`` or shorter that add up to ``want``. No closure: one would be in a cycle with itself and outlive its use."""
+    if want == 0:
+        yield chosen
+        return
+    while at >= 0 and reach[lengths[at]] >> want & 1:
+        x = lengths[at]
+        if x <= want and chosen.count(x) < left[x]:
+            yield from _fillings(want - x, at, (*chosen, x), lengths, reach, left)
+        at -= 1
+
+
 def completions(counts: np.ndarray, longest: int, most_waste: int) -> Iterator[tuple[int, tuple[int, ...] | None]]:
     """``(waste, pieces)``: ``longest`` with every undominated filling of the room beside it, least waste first, longest pieces first on ties.
 
@@ -50,20 +63,10 @@ def completions(counts: np.ndarray, longest: int, most_waste: int) -> Iterator[t
     reach = _sums(lengths, room)
     ways = reach[lengths[-1]] if lengths else 1
 
-    def fill(want: int, at: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
-        if want == 0:
-            yield chosen
-            return
-        while at >= 0 and reach[lengths[at]] >> want & 1:
-            x = lengths[at]
-            if x <= want and chosen.count(x) < left[x]:
-                yield from fill(want - x, at, (*chosen, x))
-            at -= 1
-
     for waste in range(0, min(room, most_waste) + 1):
         if not ways >> (room - waste) & 1:
             continue
-        for chosen in fill(room - waste, len(lengths) - 1, ()):
+        for chosen in _fillings(room - waste, len(lengths) - 1, (), lengths, reach, left):
             if waste:
                 rest = [x for x in lengths if chosen.count(x) < left[x]]
                 if any(x <= waste or any(c < x <= c + waste for c in set(chosen)) for x in rest):
@@ -72,11 +75,12 @@ def completions(counts: np.ndarray, longest: int, most_waste: int) -> Iterator[t
             yield waste, (longest, *chosen)
 
 
-def best_plan(counts: dict[int, int], capacity: int, nodes: int = 6000) -> tuple[list[Pattern], int, bool]:
+def best_plan(counts: dict[int, int], capacity: int, nodes: int = 6000, kept: int = 8) -> tuple[list[Pattern], int, bool]:
     """(patterns, least number of sequences there can be, whether no fewer than those found can do).
 
     Patterns hold exactly ``counts`` pieces of each length (1 to capacity). It is proven if as few as the tokens need were found, or
-    if the search ended before ``nodes`` steps without having taken a pattern several times at once.
+    if the search ended before ``nodes`` steps without having taken a pattern several times at once. The path is as deep as patterns are
+    many and a level's tables take up to a megabyte, so those of the last ``kept`` levels stay in memory, whatever ``kept`` the plan is the same.
     """
     stock = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
@@ -116,11 +120,14 @@ def best_plan(counts: dict[int, int], capacity: int, nodes: int = 6000) -> tuple
     used_best = sum(m for _, m in best)
     for p, m in best:
         put_back(p, m)
-    path: list[tuple[Pattern, int, int, Iterator]] = []  # what was taken, sequences and waste before it, choices left
+    path: list[tuple[Pattern, int, int, int, int]] = []  # what was taken, sequences and waste before it, choices tried, waste allowed
+    alive: deque[Iterator] = deque(maxlen=kept)  # the choices left at the last levels of the path; others are made again if the search comes back
     used, waste, steps, several = 0, 0, 0, False
     choices: Iterator | None = None
+    tried = spare = 0
     while used_best > least and steps < nodes:
         if choices is None:
+            tried = 0
             spare = (used_best - 1) * capacity - total - waste  # waste that a better plan may still have
             if not stock.any():
                 if used < used_best:
@@ -136,15 +143,23 @@ def best_plan(counts: dict[int, int], capacity: int, nodes: int = 6000) -> tuple
         if nxt is None:
             if not path:
                 return best, least, used_best == least or not several
-            (pattern, m), used, waste, choices = path.pop()
+            (pattern, m), used, waste, tried, spare = path.pop()
             put_back(pattern, m)
+            if alive:
+                choices = alive.pop()
+            else:
+                choices = completions(stock, pattern[0], spare)
+                for _ in range(tried):
+                    next(choices)
             continue
+        tried += 1
         w, pattern = nxt
         if pattern is None:
             steps += 1
             continue
         m = take(pattern)
-        path.append(((pattern, m), used, waste, choices))
+        path.append(((pattern, m), used, waste, tried, spare))
+        alive.append(choices)
         used, waste, choices = used + m, waste + m * w, None
     return best, least, used_best == least
 
@@ -168,10 +183,10 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
 
         with ChunkEncoder.of(path) as encoder:
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for span in in_batches(texts):
+                keys = batch.column(0).to_pylist()
+                for span, texts in text_batches(batch.column(1)):
                     rows: list[tuple] = []
-                    for i, ids in zip(span, encoder.encode([texts[i] for i in span]), strict=True):
+                    for i, ids in zip(span, encoder.encode(texts), strict=True):
                         ids += end
                         n = len(ids) // 4
                         a, b, piece = 0, n % capacity or min(n, capacity), 0

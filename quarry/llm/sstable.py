@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.files import AtomicFile, new_folder, open_input
-from quarry.llm.tokens import ChunkEncoder, in_batches, vocabulary
+from quarry.llm.tokens import ChunkEncoder, text_batches, vocabulary
 from quarry.session import durable
 
 MAGIC = b"QSSTBL01"
@@ -191,9 +191,9 @@ def write_tables(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
         name = f"shard-{shard:06d}.sst"
         with ChunkEncoder.of(tokenizer) as encoder:
             for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-                for span in in_batches(texts):
-                    for i, got in zip(span, encoder.encode([texts[i] for i in span]), strict=True):
+                ids = batch.column(0).to_pylist()
+                for span, texts in text_batches(batch.column(1)):
+                    for i, got in zip(span, encoder.encode(texts), strict=True):
                         out = out or TableWriter(AtomicFile(folder, name))
                         out.add(key_of(ids[i]), got + end)
         if out:

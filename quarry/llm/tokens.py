@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 _SPACES = re.compile(r"\s\s(?:\s|\Z)|\0")
 _BARE_STOP = re.compile(r"[,.](?<=[\W_].)|\A[,.]", re.S)
@@ -25,10 +26,13 @@ class ChunkEncoder:
     """Text -> ids as little-endian unsigned 32-bit bytes. About ``entries`` words are remembered."""
 
     def __init__(self, path: str, entries: int = 300_000) -> None:
+        import os
+
         import numpy as np
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import CharDelimiterSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would keep memory of its own
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.words = Tokenizer.from_file(path)  # for lists of words, already in the alphabet that stands for bytes
@@ -166,14 +170,26 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def in_batches(texts: list[str], most: int = 2_500_000) -> list[range]:
+def in_batches(texts: list[str], most: int = 1_200_000) -> list[range]:
     """Index ranges of at most about ``most`` characters, one text at least."""
+    return _ranges([len(t) for t in texts], most)
+
+
+def text_batches(column, most: int = 1_200_000) -> Iterator[tuple[range, list[str]]]:
+    """The same ranges of an Arrow column of texts, each with its texts; null is empty. No more of them are Python's at a time."""
+    import pyarrow.compute as pc
+
+    for span in _ranges([n or 0 for n in pc.utf8_length(column).to_pylist()], most):
+        yield span, [t or "" for t in column.slice(span.start, len(span)).to_pylist()]
+
+
+def _ranges(sizes: list[int], most: int) -> list[range]:
     out, start, size = [], 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if i > start and size + n > most:
             out.append(range(start, i))
             start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        out.append(range(start, len(texts)))
+        size += n
+    if start < len(sizes):
+        out.append(range(start, len(sizes)))
     return out

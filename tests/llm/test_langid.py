@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from quarry.llm.langid import codewords, features, fit, identify, op6_language_id, train
+from quarry.llm.langid import CHARS, _few, codewords, features, fit, identify, op6_language_id, train
 
 
 def test_codewords():
@@ -23,6 +23,16 @@ def test_a_text_is_seen_alone():
     assert (features(["Ab, C"])[0] == features(["aB...c"])[0]).all()
 
 
+def test_few_characters_are_held_at_a_time():
+    import pyarrow as pa
+
+    texts = [*(("ab " * (k * 997)) for k in range(100)), "", None, "é" * (CHARS + 1), None, *("x" for _ in range(450))]
+    parts = list(_few(pa.array(texts)))
+    assert [t for _, part in parts for t in part] == [t or "" for t in texts]
+    assert all(at == sum(len(p) for _, p in parts[:i]) and 0 < len(part) <= 200 for i, (at, part) in enumerate(parts))
+    assert all(sum(map(len, part)) <= CHARS for _, part in parts if len(part) > 1)
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

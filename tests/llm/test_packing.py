@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from quarry.llm.packing import op7_best_fit_packing, pack_documents, place, plan, sequences
+from quarry.llm.packing import best_plan, op7_best_fit_packing, pack_documents, place, plan, sequences
 from quarry.llm.tokens import vocabulary
 
 
@@ -90,6 +90,22 @@ def check(docs, got, capacity):
     return len(seqs), -(-sum(r.length for r in got) // capacity)
 
 
+def test_levels_left_behind_are_not_kept():
+    """A deep path once held a megabyte a level on the driver; levels made again give the same plan."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    for _ in range(40):
+        counts = Counter(rng.randint(1, 60) for _ in range(rng.randint(5, 80)))
+        assert len({repr(best_plan(counts, 60, 400, kept)) for kept in (0, 1, 400)}) == 1
+    counts = {x: 2 + rng.randint(0, 9) for x in range(300, 1000)}
+    tracemalloc.start()
+    best_plan(counts, 2048, nodes=700)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
+
+
 def test_documents(spark):
     sf = "/root/testdata/sf0.01"
     got = op7_best_fit_packing(spark, sf).collect()

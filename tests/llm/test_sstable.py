@@ -75,3 +75,22 @@ def test_query_against_the_library(spark, encoder):
 
 def test_empty(spark):
     assert token_tables(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_an_encoder_starts_no_threads():
+    """Each would keep memory of its own in every worker; a task has one core."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import os, numpy, pyarrow.compute\n"
+        "from quarry.llm.tokens import ChunkEncoder, vocabulary\n"
+        "texts = [f'word{i} some text {i}' for i in range(5000)]\n"
+        "with ChunkEncoder.of(vocabulary()) as e:\n"
+        "    n = len(os.listdir('/proc/self/task'))\n"
+        "    e.encode(texts), e._whole(texts)\n"
+        "    print(len(os.listdir('/proc/self/task')) - n)"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"RAYON_NUM_THREADS": "4", "PYTHONPATH": os.getcwd()}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120).stdout.strip() == "0"
