@@ -112,6 +112,18 @@ def test_join_in_parts_deals_a_busy_key(spark):
     assert many.count() == 4096 * 64 and many.groupBy(F.spark_partition_id()).count().count() > 4
 
 
+def test_join_in_parts_unfolds_bare_values(spark):
+    """No struct is made a pair where the right has one column beside its key; null values stay."""
+    a = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "i int, k int")
+    for kind in ("k int, j int", "k double, j int"):
+        b = spark.createDataFrame([(1, 5), (1, None), (None, None)], ["k", "j"]).selectExpr(*(f"CAST({c.split()[0]} AS {c.split()[1]}) AS {c.split()[0]}" for c in kind.split(", ")))
+        met = relational.join_in_parts(a, b, "k", 2, 2)
+        assert met.columns == ["i", "k", "k", "j"]
+        want = [(1, 1, 1, 5), (1, 1, 1, None), (None, 1, 1, 5), (None, 1, 1, None), (2, None, None, None)]
+        assert sorted(map(repr, map(tuple, met.toDF("a", "b", "c", "d").selectExpr("a", "b", "CAST(c AS int)", "d").collect()))) == sorted(map(repr, want))
+        assert ("explode(_v" in met._jdf.queryExecution().executedPlan().toString()) == ("double" not in kind)
+
+
 def test_counts_in_ranges_make_no_pairs(spark):
     rng = random.Random(3)
     ranges = [(i, rng.choice([None, *range(-30, 30)]), rng.choice([None, *range(-30, 60)])) for i in range(60)]
