@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import langid, lines, nearcopies, packing, secrets
-from quarry.session import shared_dir
+from quarry.llm.tokens import give_back
+from quarry.session import shared_dir, trim_driver
 
 ORACLE_SQL = None  # trained models and tokenizers are not SQL; tests hold the stages against brute force
 
@@ -27,12 +28,16 @@ def _same_columns(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter. Ambiguous ones are clean text still and stay."""
-    found = langid.identify(docs, langid.train(docs))
+    model = langid.train(docs)
+    give_back()  # what the sample took of the driver's Python
+    trim_driver(spark)
+    found = langid.identify(docs, model)
     return found.where("lang_pred <> 'und'").select(*docs.columns)
 
 
 def line_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages of three lines or more that an earlier place has."""
+    trim_driver(spark)
     return _same_columns(docs, lines.drop_repeated_lines(docs))
 
 
@@ -55,6 +60,7 @@ def secret_scan(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Places all documents in sequences of at most 2048 tokens."""
+    trim_driver(spark)
     return packing.pack_documents(docs)
 
 

@@ -28,7 +28,7 @@ from quarry.llm import simhash
 from quarry.llm.groups import forest, groups, units
 from quarry.llm.tokens import give_back, in_batches
 from quarry.operators.components import connected_components
-from quarry.session import durable
+from quarry.session import durable, trim_driver
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters whose shingles a task holds at a time, beside one text at least.
@@ -237,13 +237,17 @@ def near_copies(docs: DataFrame, size: int = 5, least: tuple[int, int] = (4, 5),
     num, den = least
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
     near = durable(anchored(texts, size))
+    trim_driver(docs.sparkSession)
     common = docs.sparkSession.sparkContext.broadcast(_common(texts, size, one_in, most))
     met = _met(_prefixes(texts, size, num, den, common), num, den)
     group = durable(connected_components(near.unionByName(met)))
+    trim_driver(docs.sparkSession)
     # one of equal texts, chosen before the exchange, so that many copies are no task's load
     held = durable(texts.groupBy("node").agg(F.first("text").alias("text")).join(group, "node").select("node", "component", "text"))
     sure = durable(proven(near, held, size, num, den))
     class_of = connected_components(sure).withColumnRenamed("component", "class")
+    trim_driver(docs.sparkSession)
     members = held.join(class_of, "node", "left").withColumn("class", F.coalesce("class", "node"))
     of_node = connected_components(sure.unionByName(links(members, size, num, den)))
+    trim_driver(docs.sparkSession)
     return texts.select("doc_id", "node").join(of_node, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component_id"))

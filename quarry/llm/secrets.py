@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import durable
+from quarry.session import durable, trim_driver
 
 RUN = r"[A-Za-z0-9+/_.\-]{16,}"
 #: Names that credentials are assigned to, and formats that providers give theirs.
@@ -179,9 +179,16 @@ def train(known: DataFrame, sample: int = 20_000, trees: int = 20, depth: int =
 
 def scan(docs: DataFrame, known: DataFrame | None = None, least: float = 0.5) -> DataFrame:
     """Every finding with its ``score`` (0 to 1) and ``is_secret``; ``known``: labelled findings to learn from instead."""
+    # between the steps the driver is trimmed: their plans make much code
+    trim_driver(docs.sparkSession)
     words = durable(dictionary(docs))
-    rows = durable(with_features(durable(labelled(findings(docs))), words))  # texts are read once
+    trim_driver(docs.sparkSession)
+    found = durable(labelled(findings(docs)))  # texts are read once
+    trim_driver(docs.sparkSession)
+    rows = durable(with_features(found, words))
+    trim_driver(docs.sparkSession)
     model = train(rows if known is None else with_features(known, words))
+    trim_driver(docs.sparkSession)
     if model is None:
         scored = rows.withColumn("score", F.col("label"))
     else:
