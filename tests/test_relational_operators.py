@@ -124,6 +124,34 @@ def test_join_in_parts_unfolds_bare_values(spark):
         assert ("explode(_v" in met._jdf.queryExecution().executedPlan().toString()) == ("double" not in kind)
 
 
+def test_join_in_parts_is_small_when_written(spark, tmp_path):
+    """The pairs of a busy key come in an order that columns of values keep small: 6 million pairs took over a byte each."""
+    a, b = spark.range(1000).selectExpr("id * 7 AS i", "CAST(NULL AS int) AS k"), spark.range(6000).selectExpr("id * 5 AS j", "CAST(NULL AS int) AS k")
+    met = relational.join_null_safe(a, b, "k").select("i", "j")
+    met.write.parquet(str(tmp_path / "met"))
+    kept = spark.read.parquet(str(tmp_path / "met"))
+    assert kept.agg(F.count("*"), F.count_distinct("i", "j"), F.sum("i"), F.sum("j")).first() == (6_000_000, 6_000_000, 999 * 500 * 7 * 6000, 5999 * 3000 * 5 * 1000)
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < 0.25 * 6_000_000
+
+
+def test_join_in_parts_goes_by_runs(spark):
+    a, b = spark.range(5).selectExpr("id AS i", "1 AS k"), spark.range(40).selectExpr("id AS j", "1 AS k")
+    for other, extra in ((b, ()), (b.selectExpr("j", "k", "-j AS l"), ("l",))):  # bare values, and structs
+        rows = [(r.i, r.j) for r in relational.join_in_parts(a, other, "k", 100, 100, 16).select("i", "j", *extra).collect()]
+        assert sorted(rows) == [(i, j) for i in range(5) for j in range(40)]
+        runs = [{j for _, j in rows[n * 80 + m * 16 : n * 80 + (m + 1) * 16]} for n in range(2) for m in range(5)]
+        assert all(len(r) == 16 for r in runs) and all(r == runs[5 * (n // 5)] for n, r in enumerate(runs))
+        assert [rows[n * 16][0] for n in range(5)] == [rows[80 + n * 16][0] for n in range(5)]
+    # keys with few and with many rows, none, and parts beyond their share
+    left = spark.range(300).selectExpr("id AS i", "IF(id % 7 = 0, NULL, id % 40) AS k")
+    right = spark.range(500).selectExpr("id AS j", "IF(id % 3 = 0, NULL, CAST(sqrt(id) AS int) + 5) AS k").selectExpr("j", "CAST(k AS bigint) AS k")
+    want = sorted(map(tuple, left.join(right, left["k"].eqNullSafe(right["k"])).select("i", "j").collect()))
+    for sizes in ((8, 12, 4), (50, 7, 3), (16_384, 2_016, 168)):
+        for small in (0, 10_000):
+            assert sorted(map(tuple, relational.join_in_parts(left, right, "k", *sizes, small=small).select("i", "j").collect())) == want
+    assert relational.join_in_parts(left.where("k = 1"), right.where("k = 2"), "k").count() == 0
+
+
 def test_counts_in_ranges_make_no_pairs(spark):
     rng = random.Random(3)
     ranges = [(i, rng.choice([None, *range(-30, 30)]), rng.choice([None, *range(-30, 60)])) for i in range(60)]
