@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import aggregates, relational, versions
-from quarry.plans.relational import _within_ten_minutes
+from quarry.plans.relational import R, _within_ten_minutes
 
 
 def at(seconds):
@@ -134,6 +134,18 @@ def test_join_in_parts_is_small_when_written(spark, tmp_path):
     assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < 0.25 * 6_000_000
 
 
+def test_natural_join_is_small_when_written(spark, tmp_path):
+    """Nations with many customers and suppliers, few of either, and none known: all pairs, in little space."""
+    nation = "CASE WHEN id % 1000 = 1 THEN NULL WHEN id % 1000 = 2 THEN 7 WHEN id % 3 = 0 THEN 5 ELSE 3 END"
+    spark.range(1500).selectExpr("id AS c_custkey", f"CAST({nation} AS int) AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(9000).selectExpr("id AS s_suppkey", f"CAST({nation} AS int) AS s_nationkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    R.queries["join_natural"](spark, str(tmp_path)).write.parquet(str(tmp_path / "met"))
+    c, s, met = (spark.read.parquet(str(tmp_path / n)) for n in ("customer.parquet", "supplier.parquet", "met"))
+    figures = lambda d: d.agg(F.count("*"), F.sum("c_custkey"), F.sum("s_suppkey"), F.sum(F.xxhash64("c_custkey", "s_suppkey").cast("decimal(38)"))).first()
+    assert figures(met) == figures(c.join(s, c["c_nationkey"] == s["s_nationkey"]))
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < 0.25 * met.count()
+
+
 def test_join_in_parts_goes_by_runs(spark):
     a, b = spark.range(5).selectExpr("id AS i", "1 AS k"), spark.range(40).selectExpr("id AS j", "1 AS k")
     for other, extra in ((b, ()), (b.selectExpr("j", "k", "-j AS l"), ("l",))):  # bare values, and structs
